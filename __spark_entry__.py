@@ -31,11 +31,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 # audit caps for the event log: both bind on the given tables
 ADMISSION = {"ts": "ts", "client": "user_id", "bucket": "1 day", "per_client": 5, "global_cap": 300}
 
+_defined: dict[tuple[str, str], Warehouse] = {}
 _built: dict[tuple[str, str], StoredWarehouse] = {}
 
 
 def _lazy(spark: SparkSession, folder: str) -> Warehouse:
-    return Warehouse(raw_panel(spark, folder), ORDERS_SPEC)
+    """The unexecuted tables; queries share their definitions, not their data."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _defined:
+        _defined[key] = Warehouse(raw_panel(spark, folder), ORDERS_SPEC)
+    return _defined[key]
 
 
 def _run_folder(spark: SparkSession, name: str) -> TableSet:
@@ -59,7 +64,7 @@ def _metric(metric: str, window: Window = Window.LIFETIME, digits: int | None =
     """A catalogue call. Weighted sums are rounded: engines add floats in different orders."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        values = Catalog(_lazy(spark, folder).marts).query_metric(metric, window, **options)
+        values = Catalog(_lazy(spark, folder)).query_metric(metric, window, **options)
         return values if digits is None else values.withColumn("value", F.round("value", digits))
 
     return run
@@ -88,34 +93,34 @@ def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def m_segment_mix(spark: SparkSession, folder: str) -> DataFrame:
-    mix = Catalog(_lazy(spark, folder).marts).query_metric("segment_mix")
+    mix = Catalog(_lazy(spark, folder)).query_metric("segment_mix")
     return mix.select("cohort", F.inline("breakdown"))
 
 
 def m_compare_cohorts(spark: SparkSession, folder: str) -> DataFrame:
-    return Catalog(_lazy(spark, folder).marts).compare_cohorts("1995-05", "1995-01", "adoption_rate", "msa_6")
+    return Catalog(_lazy(spark, folder)).compare_cohorts("1995-05", "1995-01", "adoption_rate", "msa_6")
 
 
 def guard_target(spark: SparkSession, folder: str) -> DataFrame:
-    return guards.latest_targets(digest_run.rate_series(_lazy(spark, folder).marts))
+    return guards.latest_targets(digest_run.rate_series(_lazy(spark, folder)))
 
 
 def guard_censoring(spark: SparkSession, folder: str) -> DataFrame:
-    flags = digest_run.observed_flags(_lazy(spark, folder).marts)
+    flags = digest_run.observed_flags(_lazy(spark, folder))
     return guards.observed_gate(guards.all_targets(flags), flags)
 
 
 def guard_min_n(spark: SparkSession, folder: str) -> DataFrame:
-    kept, small = guards.split_min_n(digest_run.rate_cells(_lazy(spark, folder).marts))
+    kept, small = guards.split_min_n(digest_run.rate_cells(_lazy(spark, folder)))
     return kept.unionByName(small, allowMissingColumns=True)
 
 
 def guard_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    return guards.consecutive_deltas(digest_run.rate_series(_lazy(spark, folder).marts))
+    return guards.consecutive_deltas(digest_run.rate_series(_lazy(spark, folder)))
 
 
 def guard_materiality(spark: SparkSession, folder: str) -> DataFrame:
-    deltas = guards.consecutive_deltas(digest_run.rate_series(_lazy(spark, folder).marts))
+    deltas = guards.consecutive_deltas(digest_run.rate_series(_lazy(spark, folder)))
     return guards.assess_materiality(deltas).select(
         "window", "cohort", "delta", "material", "abs_delta", F.round("sd", 9).alias("sd"),
         F.round("threshold_sd", 9).alias("threshold_sd"), "insufficient_history",
@@ -128,7 +133,7 @@ def _observed_targets(marts) -> DataFrame:
 
 
 def guard_findings(spark: SparkSession, folder: str) -> DataFrame:
-    marts = _lazy(spark, folder).marts
+    marts = _lazy(spark, folder)
     found = guards.findings(digest_run.rate_series(marts), digest_run.rate_cells(marts), _observed_targets(marts))
     return found.drop("threshold_abs", "note").withColumns(
         {"sd": F.round("sd", 9), "threshold_sd": F.round("threshold_sd", 9)}
@@ -136,12 +141,12 @@ def guard_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def guard_suppressed(spark: SparkSession, folder: str) -> DataFrame:
-    marts = _lazy(spark, folder).marts
+    marts = _lazy(spark, folder)
     return guards.suppressions(digest_run.rate_cells(marts), _observed_targets(marts))
 
 
 def guard_critique(spark: SparkSession, folder: str) -> DataFrame:
-    records = digest_run.review_all(_lazy(spark, folder).marts)
+    records = digest_run.review_all(_lazy(spark, folder))
     sizes = {"n_findings": "findings", "n_suppressed": "suppressed", "n_notes": "notes"}
     return records.select(
         "cohort_month", "window", "critic_passed", *[F.size(c).cast("bigint").alias(n) for n, c in sizes.items()]
@@ -163,13 +168,13 @@ def _allowed() -> Column:
 
 
 def digest_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    records = digest_run.review_all(_lazy(spark, folder).marts).filter("critic_passed")
+    records = digest_run.review_all(_lazy(spark, folder)).filter("critic_passed")
     return records.select("window", "cohort_month", F.array_join(F.array_sort(_allowed()), "|").alias("allowed"))
 
 
 def digest_faithfulness(spark: SparkSession, folder: str) -> DataFrame:
     """Every digest text, and a copy of it with a figure nobody has approved."""
-    digests = digest.write_digests(digest_run.review_all(_lazy(spark, folder).marts)).filter("critic_passed")
+    digests = digest.write_digests(digest_run.review_all(_lazy(spark, folder))).filter("critic_passed")
     texts = digests.select("window", "cohort_month", _allowed().alias("allowed"), "prose")
     altered = F.concat("prose", F.lit(" That is 99.99% more, and 99.99% again."))
     variants = texts.select("*", F.explode(F.create_map(F.lit("written"), "prose", F.lit("altered"), altered)))
@@ -186,9 +191,9 @@ def digest_faithfulness(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _digest_table(spark: SparkSession, folder: str, run="run_1", window: str | None = None) -> DataFrame:
+def _digest_table(records: DataFrame, run="run_1", window: str | None = None) -> DataFrame:
     """Digest rows of all cohorts, stamped with their month so that the result is repeatable."""
-    digests = digest.write_digests(digest_run.review_all(_lazy(spark, folder).marts))
+    digests = digest.write_digests(records)
     if window is not None:
         digests = digests.filter(F.col("window") == window)
     stamp = F.to_timestamp_ntz(F.concat("cohort_month", F.lit("-01")), F.lit("yyyy-MM-dd"))
@@ -201,30 +206,31 @@ def _without_json(rows: DataFrame) -> DataFrame:
 
 
 def digest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _without_json(_digest_table(spark, folder))
+    return _without_json(_digest_table(digest_run.review_all(_lazy(spark, folder))))
 
 
 def digest_json(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest_table(spark, folder).select(
+    return _digest_table(digest_run.review_all(_lazy(spark, folder))).select(
         "cohort_month", "metric_window", "findings_json", "suppressed_json", "notes_json"
     )
 
 
 def digest_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return digest.display_payload(digest_run.review_all(_lazy(spark, folder).marts))
+    return digest.display_payload(digest_run.review_all(_lazy(spark, folder)))
 
 
 def digest_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """One run stored, then another window merged in: some of its rows replace, the rest are new."""
     path = _run_folder(spark, "digests").path("mart_digest_cache")
-    digest.upsert_digests(spark, path, _digest_table(spark, folder, "run_1", "msa_12"))
+    stored = digest_run.review_all(_stored(spark, folder))
+    digest.upsert_digests(spark, path, _digest_table(stored, "run_1", "msa_12"))
     run = F.when(F.substring("cohort_month", 6, 2) <= "06", F.lit("run_1")).otherwise(F.lit("run_2"))
-    digest.upsert_digests(spark, path, _digest_table(spark, folder, run, "msa_6"))
+    digest.upsert_digests(spark, path, _digest_table(stored, run, "msa_6"))
     return _without_json(digest.read_digests(spark, path))
 
 
 def digest_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return _without_json(digest.latest_digest(_digest_table(spark, folder), "msa_6"))
+    return _without_json(digest.latest_digest(_digest_table(digest_run.review_all(_lazy(spark, folder))), "msa_6"))
 
 
 def bi_curves(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ exact, and compare the remainder with the half in integers. They stay inside cod
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,8 +35,22 @@ def round_rate(value: Column) -> Column:
 
 def two_decimals(value: Column) -> Column:
     """Text of ``value`` with two decimals (|value| below ten million)."""
-    units = F.abs(decimal_units(value, 2, 20))
+    return _unit_text(decimal_units(F.abs(value), 2, 20), value < 0)
+
+
+def _unit_text(units: Column, negative: Column) -> Column:
     cents = units % 100
     whole = ((units - cents) / 100).cast("bigint").cast("string")
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
     return F.concat(sign, whole, F.lit("."), F.lpad(cents.cast("string"), 2, "0"))
+
+
+def with_two_decimals(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """Adds several ``two_decimals`` texts, one projection per step.
+
+    The steps refer to columns instead of repeating their expressions, which keeps plans short.
+    """
+    values = {f"_v_{name}": value.cast("double") for name, value in texts.items()}
+    units = {f"_u_{name}": decimal_units(F.abs(F.col(f"_v_{name}")), 2, 20) for name in texts}
+    shown = {name: _unit_text(F.col(f"_u_{name}"), F.col(f"_v_{name}") < 0) for name in texts}
+    return df.withColumns(values).withColumns(units).withColumns(shown).drop(*values, *units)

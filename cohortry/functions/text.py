@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortry.functions.rounding import two_decimals
+from cohortry.functions.rounding import two_decimals, with_two_decimals
 
 # Characters with the Unicode White_Space property.
 WHITE_SPACE = (
@@ -46,6 +46,23 @@ def points_token(delta: Column) -> Column:
     return F.concat(two_decimals(delta * 100), F.lit("pp"))
 
 
+SHOWN = ("shown_value", "shown_prior", "shown_delta", "shown_size")
+
+
+def with_display_text(findings: DataFrame) -> DataFrame:
+    """Adds the figures of a finding as the tokens in which they may be stated."""
+    hundred = {
+        "shown_value": F.col("value") * 100,
+        "shown_prior": F.col("prior_value") * 100,
+        "shown_delta": F.col("delta") * 100,
+        "shown_size": F.abs("delta") * 100,
+    }
+    units = dict(zip(SHOWN, ("%", "%", "pp", "pp"), strict=True))
+    return with_two_decimals(findings, hundred).withColumns(
+        {name: F.concat(name, F.lit(unit)) for name, unit in units.items()}
+    )
+
+
 def segment_name(segment: Column) -> Column:
     """Segment label without its leading numeric code."""
     return strip(F.regexp_replace(segment, SEGMENT_CODE_PATTERN, ""))

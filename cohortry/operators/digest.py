@@ -6,14 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortry.functions.text import (
-    figure_tokens,
-    percent_token,
-    plain_token,
-    points_token,
-    segment_name,
-)
-from cohortry.sources.tables import read_or_none, replace_partitions
+from cohortry.functions.text import SHOWN, figure_tokens, plain_token, segment_name
+from cohortry.sources.tables import read_or_none, replace_partitions, settle
 
 # The layout of the digest table.
 DIGEST_SCHEMA = T.StructType(
@@ -38,10 +32,7 @@ def _figures_of(finding: Column) -> Column:
     return F.array(
         plain_token(finding["cohort"]),
         plain_token(finding["prior_cohort"]),
-        percent_token(finding["value"]),
-        percent_token(finding["prior_value"]),
-        points_token(finding["delta"]),
-        points_token(F.abs(finding["delta"])),
+        *[finding[name] for name in SHOWN],
         finding["n"].cast("string"),
     )
 
@@ -68,9 +59,9 @@ def _shown_finding(finding: Column) -> Column:
         segment_name(finding["segment"]).alias("segment"),
         finding["cohort"].alias("cohort"),
         finding["prior_cohort"].alias("prior_cohort"),
-        percent_token(finding["value"]).alias("adoption_rate"),
-        percent_token(finding["prior_value"]).alias("prior_adoption_rate"),
-        points_token(finding["delta"]).alias("change_pp"),
+        finding["shown_value"].alias("adoption_rate"),
+        finding["shown_prior"].alias("prior_adoption_rate"),
+        finding["shown_delta"].alias("change_pp"),
         finding["n"].alias("cohort_cell_size"),
     )
 
@@ -100,13 +91,13 @@ def _sentence(finding: Column) -> Column:
     return F.concat(
         subject,
         F.lit(" stands at "),
-        percent_token(finding["value"]),
+        finding["shown_value"],
         F.lit(" against "),
-        percent_token(finding["prior_value"]),
+        finding["shown_prior"],
         F.lit(" for "),
         finding["prior_cohort"],
         F.lit(", a change of "),
-        points_token(finding["delta"]),
+        finding["shown_delta"],
         F.lit("."),
     )
 
@@ -211,9 +202,10 @@ def upsert_digests(spark: SparkSession, path: str, new: DataFrame) -> None:
     The table is partitioned by cohort, part of the key, so old and new versions of a row share a
     partition and only the partitions of the cohorts in ``new`` are rewritten.
     """
+    new = settle(newest_per_key(new))
     existing = read_or_none(spark, path, DIGEST_SCHEMA)
     if existing is None:
-        merged = newest_per_key(new)
+        merged = new
     else:
         touched = existing.join(new.select("cohort_month").distinct(), "cohort_month", "left_semi")
         merged = merge_digests(touched, new)

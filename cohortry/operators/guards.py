@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortry.functions.rounding import round_rate
+from cohortry.functions.text import SHOWN, with_display_text
 
 MIN_N = 50
 MATERIAL_DELTA = 0.02
@@ -159,19 +160,20 @@ def critique(
 
     A target that is not fully observed keeps nothing but the reason. Without ``flags`` the
     cohorts of the series are the observed ones. A record gathers at most two entries per segment.
+    Findings carry their figures as display text too.
     """
     if flags is None:
         flags = series.select("window", "cohort", F.lit(True).alias("fully_observed"))
     gated = observed_gate(targets, flags)
     passed = gated.filter("is_observed").select("window", "cohort", "prior_cohort")
 
-    found = findings(series, cells, passed, metric, min_n)
+    found = with_display_text(findings(series, cells, passed, metric, min_n))
     verdict = F.struct(
         "material", "abs_delta", "threshold_abs", "sd", "threshold_sd", "insufficient_history", "note"
     ).alias("materiality")
     finding = F.struct(
         "kind", "metric", "window", "segment", "cohort", "prior_cohort", "value", "prior_value", "n", "delta",
-        "material", verdict,
+        "material", verdict, *SHOWN,
     )
     # blended first, then segments by name
     ranked = F.struct((F.col("kind") == SEGMENT).alias("rank"), F.col("segment").alias("name"), finding.alias("f"))

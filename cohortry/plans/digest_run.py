@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.functions.calendar import month_label
 from cohortry.operators import digest, guards
 from cohortry.operators.metrics import AGE_WINDOWS, Marts
+from cohortry.sources.tables import settle
 from cohortry.spec import Window
 
 
@@ -88,7 +89,7 @@ def run_and_store(
     spark: SparkSession, marts: Marts, path: str, run_id: str, window: str | Window = Window.MSA_6, **cohorts
 ) -> str:
     """Run one digest and merge it into the table. Returns what happened, for a log."""
-    digests = run_digest(marts, window, **cohorts)
+    digests = settle(run_digest(marts, window, **cohorts))
     row = digests.select("cohort_month", "critic_passed", "faithful", "violations").first()
     if row is None or not row["critic_passed"]:
         return "not stored: the cohort is not fully observed"

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators import marts, model
-from cohortry.operators.metrics import Marts
 from cohortry.operators.quality import check, check_tables
 from cohortry.operators.resolve import resolve_adoption
 from cohortry.operators.staging import clean_panel
@@ -69,10 +68,6 @@ class Warehouse:
     def cohort_adoption(self) -> DataFrame:
         return marts.cohort_adoption(self.fct_customer, self.spec)
 
-    @property
-    def marts(self) -> Marts:
-        return Marts(self.fct_customer, self.curves, self.curves_by_segment, self.cohort_adoption)
-
     def tables(self) -> dict[str, DataFrame]:
         return {
             "stg_customer_month": self.panel,

@@ -31,6 +31,8 @@ def _lines(spark: SparkSession, path: str, quoted_newlines: bool) -> DataFrame:
         .option("columnPruning", False)
         .option("quote", '"')
         .option("escape", '"')
+        # an unquoted empty field is NULL, a quoted one is an empty text
+        .option("nullValue", "\x00")
         .csv(path)
     )
 

@@ -23,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="cohortry-")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and read back from a checkpoint, which outlives a lost executor."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def read_or_none(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
     """The parquet table at ``path``, or None when nothing has been written there."""
     reader = spark.read.schema(schema) if schema is not None else spark.read

@@ -532,6 +532,8 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT bucket, count(*) AS n FROM passed GROUP BY 1) p USING (bucket)""",
     }
     texts["stream_incremental"] = texts["adoption_curves"]
-    texts["stream_admission"] = texts["request_admission_counts"]
+    # the bucket that holds the newest event stays open in a stream
+    texts["stream_admission"] = f"""SELECT * FROM ({texts["request_admission_counts"]})
+        WHERE bucket < (SELECT date_trunc('day', max(ts)) FROM events)"""
     texts["warehouse_build"] = texts["fct_customer_month"]
     return texts
