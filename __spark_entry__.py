@@ -168,13 +168,13 @@ def _allowed() -> Column:
 
 
 def digest_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    records = digest_run.review_all(_lazy(spark, folder)).filter("critic_passed")
+    records = digest_run.review_all(_stored(spark, folder)).filter("critic_passed")
     return records.select("window", "cohort_month", F.array_join(F.array_sort(_allowed()), "|").alias("allowed"))
 
 
 def digest_faithfulness(spark: SparkSession, folder: str) -> DataFrame:
     """Every digest text, and a copy of it with a figure nobody has approved."""
-    digests = digest.write_digests(digest_run.review_all(_lazy(spark, folder))).filter("critic_passed")
+    digests = digest.write_digests(digest_run.review_all(_stored(spark, folder))).filter("critic_passed")
     texts = digests.select("window", "cohort_month", _allowed().alias("allowed"), "prose")
     altered = F.concat("prose", F.lit(" That is 99.99% more, and 99.99% again."))
     variants = texts.select("*", F.explode(F.create_map(F.lit("written"), "prose", F.lit("altered"), altered)))
@@ -206,17 +206,17 @@ def _without_json(rows: DataFrame) -> DataFrame:
 
 
 def digest_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return _without_json(_digest_table(digest_run.review_all(_lazy(spark, folder))))
+    return _without_json(_digest_table(digest_run.review_all(_stored(spark, folder))))
 
 
 def digest_json(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest_table(digest_run.review_all(_lazy(spark, folder))).select(
+    return _digest_table(digest_run.review_all(_stored(spark, folder))).select(
         "cohort_month", "metric_window", "findings_json", "suppressed_json", "notes_json"
     )
 
 
 def digest_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return digest.display_payload(digest_run.review_all(_lazy(spark, folder)))
+    return digest.display_payload(digest_run.review_all(_stored(spark, folder)))
 
 
 def digest_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,7 +230,7 @@ def digest_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digest_latest(spark: SparkSession, folder: str) -> DataFrame:
-    return _without_json(digest.latest_digest(_digest_table(digest_run.review_all(_lazy(spark, folder))), "msa_6"))
+    return _without_json(digest.latest_digest(_digest_table(digest_run.review_all(_stored(spark, folder))), "msa_6"))
 
 
 def bi_curves(spark: SparkSession, folder: str) -> DataFrame:

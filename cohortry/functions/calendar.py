@@ -6,6 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A day as year, month and day of the month.
+DAY_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}\z"
+
+
+def parse_day(text: Column) -> Column:
+    """Date of a ``yyyy-mm-dd`` text; anything else is an error.
+
+    A pattern test and a cast: several times faster than parsing by format, and as strict.
+    """
+    wrong = F.raise_error(F.concat(F.lit("not a day: "), text))
+    return F.when(text.rlike(DAY_PATTERN) | text.isNull(), text.cast("date")).otherwise(wrong)
+
+
+def try_parse_day(text: Column) -> Column:
+    """Date of a ``yyyy-mm-dd`` text; NULL for anything else."""
+    return F.when(text.rlike(DAY_PATTERN), text.try_cast("date"))
+
+
 def month_number(day: Column) -> Column:
     """Running number of the calendar month a date lies in."""
     return (F.year(day) * 12 + F.month(day)).cast("bigint")

@@ -11,46 +11,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def decimal_units(value: Column, digits: int, bits: int) -> Column:
-    """``value`` as a whole number of ``10**-digits`` units; exact ties go to the even count.
+def decimal_units(value: str, digits: int, bits: int) -> Column:
+    """``value``, an SQL expression, as a whole number of ``10**-digits`` units; exact ties go to the
+    even count.
 
     ``bits`` sets the fixed-point resolution; |value| * 2**bits * 10**digits must fit a bigint.
     """
     size, scale = 1 << bits, 10**digits
-    stretched = F.abs(value) * F.lit(float(size))
-    whole = F.floor(stretched)
-    rest = (stretched - whole.cast("double")) * F.lit(float(scale))
-    total = whole * F.lit(scale).cast("bigint")
-    base = F.shiftright(total, bits)
-    to_half = (F.lit(size // 2).cast("bigint") - total.bitwiseAND(F.lit(size - 1).cast("bigint"))).cast("double")
-    odd = base.bitwiseAND(F.lit(1).cast("bigint"))
-    units = base + F.when(rest > to_half, F.lit(1)).when(rest == to_half, odd).otherwise(F.lit(0))
-    return F.when(value < 0, -units).otherwise(units).cast("bigint")
+    stretched = f"(abs({value}) * {size}D)"
+    whole = f"floor({stretched})"
+    rest = f"(({stretched} - {whole}) * {scale}D)"
+    total = f"({whole} * {scale}L)"
+    base = f"shiftright({total}, {bits})"
+    to_half = f"({size // 2}L - ({total} & {size - 1}L))"
+    up = f"CASE WHEN {rest} > {to_half} THEN 1L WHEN {rest} = {to_half} THEN {base} & 1L ELSE 0L END"
+    return F.expr(f"({base} + {up}) * (CASE WHEN {value} < 0 THEN -1L ELSE 1L END)")
 
 
-def round_rate(value: Column) -> Column:
-    """A rate or rate difference (|value| <= 4) rounded to six decimals."""
-    return decimal_units(value, 6, 40).cast("double") / F.lit(1e6)
+def round_rate(value: str) -> Column:
+    """A rate or rate difference (|value| <= 4), an SQL expression, rounded to six decimals."""
+    return decimal_units(value, 6, 40) / F.lit(1e6)
 
 
-def two_decimals(value: Column) -> Column:
-    """Text of ``value`` with two decimals (|value| below ten million)."""
-    return _unit_text(decimal_units(F.abs(value), 2, 20), value < 0)
+def with_two_decimals(df: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Adds texts of SQL expressions (|value| below ten million) with two decimals.
 
-
-def _unit_text(units: Column, negative: Column) -> Column:
-    cents = units % 100
-    whole = ((units - cents) / 100).cast("bigint").cast("string")
-    sign = F.when(negative, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, whole, F.lit("."), F.lpad(cents.cast("string"), 2, "0"))
-
-
-def with_two_decimals(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
-    """Adds several ``two_decimals`` texts, one projection per step.
-
-    The steps refer to columns instead of repeating their expressions, which keeps plans short.
+    One projection per step: the steps refer to columns instead of repeating their expressions,
+    which keeps plans short.
     """
-    values = {f"_v_{name}": value.cast("double") for name, value in texts.items()}
-    units = {f"_u_{name}": decimal_units(F.abs(F.col(f"_v_{name}")), 2, 20) for name in texts}
-    shown = {name: _unit_text(F.col(f"_u_{name}"), F.col(f"_v_{name}") < 0) for name in texts}
+    values = {f"_v_{name}": F.expr(f"CAST({value} AS DOUBLE)") for name, value in texts.items()}
+    units = {f"_u_{name}": decimal_units(f"abs(_v_{name})", 2, 20) for name in texts}
+    shown = {
+        name: F.expr(
+            f"concat(if(_v_{name} < 0, '-', ''), CAST(_u_{name} DIV 100 AS STRING), '.', "
+            f"lpad(CAST(_u_{name} % 100 AS STRING), 2, '0'))"
+        )
+        for name in texts
+    }
     return df.withColumns(values).withColumns(units).withColumns(shown).drop(*values, *units)

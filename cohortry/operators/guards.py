@@ -49,7 +49,7 @@ def consecutive_deltas(series: DataFrame) -> DataFrame:
             {"prior_cohort": F.lag("cohort").over(order), "prior_value": F.lag("value").over(order)}
         )
         .filter(F.col("prior_cohort").isNotNull())
-        .withColumn("delta", round_rate(F.col("value") - F.col("prior_value")))
+        .withColumn("delta", round_rate("(value - prior_value)"))
     )
 
 
@@ -113,7 +113,7 @@ def segment_deltas(cells: DataFrame, targets: DataFrame, min_n: int = MIN_N) ->
     return (
         targets.join(kept, ["window", "cohort"])
         .join(prior, ["window", "prior_cohort", "segment"])
-        .withColumn("delta", round_rate(F.col("value") - F.col("prior_value")))
+        .withColumn("delta", round_rate("(value - prior_value)"))
     )
 
 

@@ -19,20 +19,28 @@ def _members(fct_customer: DataFrame) -> DataFrame:
     )
 
 
-def adoption_curves(fct_customer: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
-    """Cumulative adoption by cohort, optional further ``keys`` and age 0..max_age.
+def adoption_counts(fct_customer: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Customers by cohort, segment and age at adoption (NULL: not within ``max_age``).
 
-    Customers are counted per cell and adoption age first; the age spine is laid out afterwards,
-    per cell. Customers are never multiplied by ages, and what follows the first aggregate is at
-    most ``max_age + 2`` rows per cell.
+    The only step of the curves that sees customers; everything after it is mart-sized.
     """
-    cell = ["acq_month", *keys]
     adopted_at = F.when(
         F.col("is_adopted_clean") & (F.col("months_to_adoption") <= spec.max_age),
         F.greatest("months_to_adoption", F.lit(0).cast("bigint")),
     )
-    by_age = _members(fct_customer).groupBy(*cell, adopted_at.alias("adopted_at")).agg(F.count("*").alias("n"))
-    cells = by_age.groupBy(*cell).agg(
+    keys = ["acq_month", "segmento", adopted_at.alias("adopted_at")]
+    return _members(fct_customer).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def adoption_curves(fct_customer: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """Cumulative adoption by cohort, optionally by ``segmento``, and age 0..max_age.
+
+    The age spine is laid out per cell, after counting: customers are never multiplied by ages.
+    Curves with and without segment start from the same counts, which Spark computes once when
+    both are used.
+    """
+    cell = ["acq_month", *keys]
+    cells = adoption_counts(fct_customer, spec).groupBy(*cell).agg(
         F.sum("n").alias("n_observed"),
         F.collect_list(F.when(F.col("adopted_at").isNotNull(), F.struct("adopted_at", "n"))).alias("adopted"),
     )

@@ -13,34 +13,23 @@ RETENTION_MONTHS = (1, 2, 3)
 
 
 def entity_profile(panel: DataFrame) -> DataFrame:
-    """Panel facts per entity: cohort, span, flagged snapshots, attributes.
+    """Panel facts per entity: cohort, span, flagged snapshots, attributes. One shuffle.
 
-    Two aggregates, because ``max`` over text cannot use Spark's hash aggregate. The first keys on
-    the attribute values, so all its buffers are numbers and dates and the full panel is hashed,
-    never sorted. What is left, about one row per entity plus its flagged snapshots, is what the
-    second one has to sort. Both combine on the map side, so an entity holding a large share of
-    all rows shrinks before it is shuffled.
+    Rows combine on the map side, so an entity holding a large share of all rows shrinks to one
+    row per task before it is shuffled; its flagged snapshots are at most the panel's snapshots.
     """
-    flagged = F.when(F.col("card_flag") == 1, F.col("snapshot_month")).alias("flagged_month")
-    compact = panel.groupBy("customer_id", *ATTRIBUTES, flagged).agg(
+    flagged = F.when(F.col("card_flag") == 1, F.col("snapshot_month"))
+    return panel.groupBy("customer_id").agg(
         F.max("acq_month").alias("acq_month"),
         F.min("snapshot_month").alias("first_obs_month"),
         F.max("snapshot_month").alias("last_obs_month"),
         F.count("snapshot_month").alias("n_snapshots_observed"),
+        F.min(flagged).alias("first_card_month"),
+        F.collect_set(flagged).alias("flagged_months"),
+        *[F.max(c).alias(c) for c in ATTRIBUTES],
         F.max("income").alias("income_max"),
         F.max("age").alias("age_max"),
     )
-    return compact.groupBy("customer_id").agg(
-        F.max("acq_month").alias("acq_month"),
-        F.min("first_obs_month").alias("first_obs_month"),
-        F.max("last_obs_month").alias("last_obs_month"),
-        F.sum("n_snapshots_observed").alias("n_snapshots_observed"),
-        F.min("flagged_month").alias("first_card_month"),
-        F.collect_set("flagged_month").alias("flagged_months"),
-        *[F.max(c).alias(c) for c in ATTRIBUTES],
-        F.max("income_max").alias("income_max"),
-        F.max("age_max").alias("age_max"),
-    )
 
 
 def _retained(adopted: Column, months: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.functions.calendar import parse_day, try_parse_day
 from cohortry.functions.text import strip
 from cohortry.spec import PanelSpec
 
@@ -15,7 +16,6 @@ INCOME_BANDS = ((30000, "low"), (80000, "mid"), (150000, "high"))
 INCOME_BAND_LAST = "very_high"
 BAND_UNKNOWN = "unknown"
 MISSING_TEXTS = ("NA", "")
-DAY_FORMAT = "yyyy-M-d"
 
 
 def _parsed(text: Column, kind: str) -> Column:
@@ -38,26 +38,30 @@ def clean_panel(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     The steps are separate projections so that each text is trimmed and parsed once.
     """
     col = {role: F.col(name) for role, name in spec.raw.items()}
+
+    def trimmed(text: Column) -> Column:
+        return strip(text, spec.white_space)
+
     present = raw.filter(col["entity"].isNotNull() & col["snapshot"].isNotNull())
     texts = present.select(
         col["entity"].cast("bigint").alias("customer_id"),
-        F.to_date(col["snapshot"], DAY_FORMAT).alias("snapshot_month"),
-        F.try_to_date(col["acquired"], DAY_FORMAT).alias("fecha_alta"),
-        strip(col["seniority"]).alias("seniority_text"),
+        parse_day(col["snapshot"]).alias("snapshot_month"),
+        try_parse_day(col["acquired"]).alias("fecha_alta"),
+        trimmed(col["seniority"]).alias("seniority_text"),
         col["is_new"].try_cast("bigint").alias("is_new_customer"),
-        strip(col["age"]).alias("age_text"),
-        strip(col["income"]).alias("income_text"),
-        strip(col["segment"]).alias("segmento"),
-        strip(col["channel"]).alias("canal_entrada"),
-        strip(col["province_code"]).alias("cod_prov"),
-        strip(col["province"]).alias("nomprov"),
-        strip(col["country"]).alias("pais_residencia"),
-        strip(col["resident"]).alias("indresi"),
-        strip(col["foreign"]).alias("indext"),
+        trimmed(col["age"]).alias("age_text"),
+        trimmed(col["income"]).alias("income_text"),
+        trimmed(col["segment"]).alias("segmento"),
+        trimmed(col["channel"]).alias("canal_entrada"),
+        trimmed(col["province_code"]).alias("cod_prov"),
+        trimmed(col["province"]).alias("nomprov"),
+        trimmed(col["country"]).alias("pais_residencia"),
+        trimmed(col["resident"]).alias("indresi"),
+        trimmed(col["foreign"]).alias("indext"),
         col["is_active"].try_cast("bigint").alias("is_active"),
-        strip(col["employee"]).alias("ind_empleado"),
-        strip(col["relation"]).alias("indrel"),
-        strip(col["relation_type"]).alias("tiprel_1mes"),
+        trimmed(col["employee"]).alias("ind_empleado"),
+        trimmed(col["relation"]).alias("indrel"),
+        trimmed(col["relation_type"]).alias("tiprel_1mes"),
         col["flag"].try_cast("bigint").alias("card_flag"),
         col["flag"].alias("card_flag_raw"),
     )

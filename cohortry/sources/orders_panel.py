@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from cohortry.functions.calendar import month_gap
 from cohortry.spec import PanelSpec
 
-# The whole span of the orders table, as first-of-month dates.
-ORDERS_SPEC = PanelSpec(panel_start=dt.date(1995, 1, 1), panel_end=dt.date(2001, 8, 1))
+# The whole span of the orders table, as first-of-month dates; padding is blanks.
+ORDERS_SPEC = PanelSpec(panel_start=dt.date(1995, 1, 1), panel_end=dt.date(2001, 8, 1), white_space=" ")
 URGENT = ("1-URGENT", "2-HIGH")
 
 
@@ -45,11 +45,10 @@ def raw_panel(spark: SparkSession, folder: str, before: dt.date | None = None) -
     snapshot = F.date_add("month", 27)
     acquired = F.add_months("first_order", -(F.col("c_custkey") % 3).cast("int"))
     income = F.round(F.col("c_acctbal") * 20).cast("bigint").cast("string")
-    iso = "yyyy-MM-dd"
     text = {
         "ncodpers": F.col("o_custkey").cast("string"),
-        "fecha_dato": F.date_format(snapshot, iso),
-        "fecha_alta": F.when(_every(97), F.lit("not a date")).otherwise(F.date_format(acquired, iso)),
+        "fecha_dato": snapshot.cast("string"),
+        "fecha_alta": F.when(_every(97), F.lit("not a date")).otherwise(acquired.cast("string")),
         "antiguedad": F.when(_every(19), F.lit("-999999"))
         .when(_every(23), F.lit(" NA"))
         .otherwise(F.lpad(month_gap(snapshot, acquired).cast("string"), 7, " ")),

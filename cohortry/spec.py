@@ -7,6 +7,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from enum import Enum
 
+# Characters with the Unicode White_Space property.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Role of a column in this library -> its name in the raw all-string panel.
 RAW_COLUMNS: Mapping[str, str] = {
     "entity": "ncodpers",
@@ -35,7 +42,8 @@ RAW_COLUMNS: Mapping[str, str] = {
 class PanelSpec:
     """One panel: its observation window, and the names of its raw columns.
 
-    ``panel_start`` and ``panel_end`` are first-of-month dates; the same pair decides cohort
+    ``white_space`` is what padding may consist of: a panel known to be padded with blanks only is
+    cleaned faster with ``" "``. ``panel_start`` and ``panel_end`` are first-of-month dates; the same pair decides cohort
     membership and censoring. ``max_age`` is the last age (in months) of a vintage curve.
     """
 
@@ -43,6 +51,7 @@ class PanelSpec:
     panel_end: dt.date
     max_age: int = 17
     observe_months: int = 6
+    white_space: str = WHITE_SPACE
     raw: Mapping[str, str] = field(default_factory=lambda: dict(RAW_COLUMNS))
 
     def __post_init__(self) -> None:
