@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from cohortry.functions.rounding import with_two_decimals
 from cohortry.spec import WHITE_SPACE
 
-# A month label, or a number with an optional sign, decimals and unit.
-FIGURE_PATTERN = r"(?iU)\d{4}-\d{2}|-?\d[\d,]*(?:\.\d+)?\s*(?:%|pp|bp|x)?"
+# A month label, or a number with an optional sign, decimals and unit. The lookahead
+# changes nothing but lets ordinary characters be skipped at once.
+FIGURE_PATTERN = r"(?iU)(?=[-\d])(?:\d{4}-\d{2}|-?\d[\d,]*(?:\.\d+)?\s*(?:%|pp|bp|x)?)"
 
 # A numeric code in front of a segment name, as in "01 - TOP".
 SEGMENT_CODE_PATTERN = r"(?U)^\s*\d+\s*-\s*"

@@ -55,7 +55,6 @@ def test_adjusted_rate_equals_blended_rate_for_the_pooled_mix(spark, launch):
         curves=cells.groupBy("acq_month", "msa", "is_cell_right_censored").agg(
             {"n_observed": "sum", "n_adopted_clean": "sum"}
         ).withColumnsRenamed({"sum(n_observed)": "n_observed", "sum(n_adopted_clean)": "n_adopted_clean"}),
-        cohort_adoption=cells.filter("msa = 0").selectExpr("acq_month", "segmento", "n_observed as cohort_size"),
     )
     catalog = Catalog(marts)
     plain = {r["cohort"]: r["value"] for r in catalog.query_metric("adoption_rate", "msa_6").collect()}
