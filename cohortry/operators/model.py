@@ -100,8 +100,10 @@ def fct_customer(resolved: DataFrame) -> DataFrame:
 def fct_customer_month(panel: DataFrame, resolved: DataFrame) -> DataFrame:
     """The panel with its age in months and the resolved flags of its entity.
 
-    ``acq_month`` and ``msa`` come from the panel row itself. The resolved side has one row per
-    entity, so an entity with very many panel rows can be split by adaptive skew handling.
+    ``acq_month`` and ``msa`` come from the panel row itself. A panel that passes its tests has at
+    most one row per entity and snapshot, so no entity is hot. Should one be all the same, adaptive
+    execution splits its panel rows, provided that ``resolved`` is a stored table, as in ``build``:
+    a freshly aggregated one shares its shuffle with the join and cannot be replicated.
     """
     flags = resolved.select(
         "customer_id", "is_within_panel_cohort", "is_adopted_clean", "is_right_censored", "has_panel_gaps"

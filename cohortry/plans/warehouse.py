@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,7 +18,7 @@ from cohortry.sources.tables import TableSet
 from cohortry.spec import PanelSpec
 
 
-@dataclass
+@dataclass(eq=False, repr=False)
 class Warehouse:
     """All tables as lazy DataFrames over one raw panel. Nothing runs until a table is used."""
 
@@ -123,11 +124,14 @@ def require_quality(results: DataFrame) -> None:
         raise QualityError(failed)
 
 
-def build(raw: DataFrame, spec: PanelSpec, tables: TableSet) -> StoredWarehouse:
+def build(
+    raw: DataFrame, spec: PanelSpec, tables: TableSet, after_staging: Callable[[], None] | None = None
+) -> StoredWarehouse:
     """Write every table once, each from the stored one before it, and test it before the next.
 
     The big panel is scanned for staging, resolution, the channel codes and the monthly fact; all
-    marts come from the much smaller customer fact.
+    marts come from the much smaller customer fact. ``after_staging`` may inspect what was observed
+    while the raw panel was read, and stop the build by raising.
     """
     lazy = Warehouse(raw, spec)
     stored = StoredWarehouse(tables, spec)
@@ -144,6 +148,8 @@ def build(raw: DataFrame, spec: PanelSpec, tables: TableSet) -> StoredWarehouse:
             require_quality(results)
 
     store("stg_customer_month", lazy.panel)
+    if after_staging is not None:
+        after_staging()
     store("int_customer_adoption_resolved", resolve_adoption(stored.panel, spec))
     store("dim_date", lazy.dim_date)
     store("dim_customer", model.dim_customer(stored.resolved))

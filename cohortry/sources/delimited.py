@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ def _lines(spark: SparkSession, path: str, quoted_newlines: bool) -> DataFrame:
 def count_bad_records(spark: SparkSession, path: str, quoted_newlines: bool = True) -> int:
     """Rows whose number of fields differs from the header's."""
     lines = _lines(spark, path, quoted_newlines)
-    return lines.agg(F.count_if(F.col(BAD_RECORD).isNotNull() & F.lit(True)), F.count(lines.columns[0])).first()[0]
+    return lines.agg(F.count_if(F.col(BAD_RECORD).isNotNull()), F.count(lines.columns[0])).first()[0]
 
 
 def read_all_string(
@@ -52,8 +52,22 @@ def read_all_string(
     large panels as many files (one per month, or smaller). Files without such fields are split
     at will with ``quoted_newlines=False``.
     """
-    bad = count_bad_records(spark, path, quoted_newlines)
-    if bad > max_bad:
-        raise ValueError(f"{bad} malformed rows in {path}, at most {max_bad} allowed")
+    require_few(count_bad_records(spark, path, quoted_newlines), max_bad)
     lines = _lines(spark, path, quoted_newlines)
     return lines.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
+
+
+def read_and_observe(spark: SparkSession, path: str, quoted_newlines: bool = True) -> tuple[DataFrame, Observation]:
+    """As ``read_all_string``, but the files are parsed once only.
+
+    Malformed rows are counted while the result is first written; ``observation.get["bad"]`` then
+    holds their number, for ``require_few``.
+    """
+    counted = Observation()
+    lines = _lines(spark, path, quoted_newlines).observe(counted, F.count_if(F.col(BAD_RECORD).isNotNull()).alias("bad"))
+    return lines.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD), counted
+
+
+def require_few(bad: int, max_bad: int) -> None:
+    if bad > max_bad:
+        raise ValueError(f"{bad} malformed rows, at most {max_bad} allowed")

@@ -14,6 +14,7 @@ def spark():
     from verify import session
 
     spark = session()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
     yield spark
     spark.stop()
 

@@ -35,6 +35,33 @@ def test_delimited_files_stay_text(spark, folder):
         read_all_string(spark, path, max_bad=1)
 
 
+def test_malformed_rows_are_counted_while_reading(spark, folder):
+    from cohortry.sources.delimited import read_and_observe, require_few
+
+    path = folder + "/t.csv"
+    with open(path, "w") as file:
+        file.write(LINES)
+    frame, counted = read_and_observe(spark, path)
+    frame.select("a").write.parquet(folder + "/out")
+    assert counted.get["bad"] == 2 and spark.read.parquet(folder + "/out").count() == 4
+    require_few(2, 2)
+    with pytest.raises(ValueError):
+        require_few(2, 1)
+
+
+def test_build_job_refuses_too_many_malformed_rows(spark, folder):
+    from cohortry.plans.jobs import main
+
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 4, 1))
+    raw.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(folder + "/in")
+    with open(folder + "/in/zz.csv", "w") as file:
+        file.write(",".join(raw.columns) + "\nfew,fields\n")
+    span = ["--root", folder + "/t", "--panel-start", "1995-01-01", "--panel-end", "1995-03-01", "build", "--source", folder + "/in"]
+    with pytest.raises(ValueError, match="1 malformed"):
+        main([*span, "--max-bad", "0"])
+    assert main([*span, "--max-bad", "1"]).startswith("built")
+
+
 def test_table_modes(spark, folder):
     tables = TableSet(spark, folder)
     assert not tables.exists("t")
