@@ -32,6 +32,8 @@ DOMAIN_WORDS = (
 
 LENGTH_CAP = 500
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 def domain_vocabulary() -> list[str]:
     """The domain words and every longer word of a metric label."""
@@ -89,9 +91,12 @@ def admitted_requests(
     first ``global_cap``. A refused request uses up nothing.
 
     Both ranks are filtered directly, so Spark limits every group before it shuffles (window group
-    limit): a client or bucket holding most rows never gathers in one task. Caps beyond
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` need that setting raised accordingly.
+    limit): a client or bucket holding most rows never gathers in one task. Caps for which Spark
+    would not do so are refused.
     """
+    limit = int(df.sparkSession.conf.get(GROUP_LIMIT))
+    if max(per_client, global_cap) > limit:
+        raise ValueError(f"caps above {limit} need {GROUP_LIMIT} raised as far")
     arrival = [F.col(ts), F.col(request)]
     slots = df.withColumn("bucket", F.window(F.col(ts), bucket)["start"])
     by_client = W.partitionBy("bucket", client).orderBy(*arrival)

@@ -42,6 +42,14 @@ def test_metric_reads_are_pruned_and_pushed_down(stored):
     assert "ReadSchema: struct<is_within_panel_cohort:boolean,is_adopted_clean:boolean,retained_3m:boolean>" in text
 
 
+def test_a_named_cohort_reaches_the_files(stored):
+    text = plan(Catalog(stored).query_metric("funnel_conversion", "acquired_to_adopted", "1995-02"))
+    assert "EqualTo(acq_month,1995-02-01)" in text
+    whole = {r["cohort"]: r["value"] for r in Catalog(stored).query_metric("adoption_rate_segment_adjusted", "msa_6").collect()}
+    one = Catalog(stored).query_metric("adoption_rate_segment_adjusted", "msa_6", "1995-02").first()
+    assert one["value"] == pytest.approx(whole["1995-02"])
+
+
 def test_resolution_reads_the_panel_once(stored):
     from cohortry.operators.resolve import resolve_adoption
 

@@ -75,6 +75,12 @@ def test_repeats(spark):
     assert len({r["question_key"] for r in marked}) == 2
 
 
+def test_caps_beyond_the_group_limit_are_refused(spark):
+    frame = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 1)], "request long, ts timestamp, client long")
+    with pytest.raises(ValueError):
+        requests.admission(frame, "ts", "request", "client", "1 day", 5, 1001)
+
+
 def admit(log, per_client, global_cap):
     """The limiter itself, one request after the other."""
     bucket, used, total, out = None, {}, 0, {}
