@@ -79,6 +79,7 @@ def test_no_step_of_the_model_multiplies_rows_or_crosses(spark, stored):
 def test_hot_entity_is_split_in_the_monthly_fact(spark):
     """One entity holds most rows: adaptive execution splits it, and nothing is lost."""
     settings = {
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
