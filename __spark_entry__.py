@@ -26,6 +26,14 @@ from cohortry.spec import Window  # noqa: E402
 from cohortry.streaming.admission import streaming_admission_counts  # noqa: E402
 from cohortry.streaming.incremental import IncrementalLoad  # noqa: E402
 
+try:  # the training-data operators may be absent
+    import corpus_pipeline
+    from cohortry.llm import queries as llm
+except ModuleNotFoundError as absent:
+    if absent.name not in ("corpus_pipeline", "cohortry.llm"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # audit caps for the event log: both bind on the given tables
@@ -324,8 +332,12 @@ def stream_incremental(spark: SparkSession, folder: str) -> DataFrame:
     return tables.read("mart_adoption_curves")
 
 
+def _llm_queries() -> dict[str, Query]:
+    return {} if llm is None else {**llm.queries(), "pipeline": corpus_pipeline.run}
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return _llm_queries() | {
         "staging_clean": _table("panel"),
         "staging_bands": staging_bands,
         "ingest_strings": ingest_strings,
@@ -390,7 +402,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    own = oracles.oracle_sql()
+    if llm is not None:
+        own |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL is not None:
+            own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own
 
 
 def entry(spark: SparkSession) -> DataFrame:
