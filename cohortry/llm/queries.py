@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortry.llm import exact_dedup, oracles
+from cohortry.llm import exact_dedup, oracles, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
@@ -19,8 +23,14 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, folder))
 
 
+def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    files = token_files.write_token_files(docs, WORD_BPE, end_id=2)
+    return token_files.read_all(files, token_files.keys_of(docs)).drop("turn")
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup}
+    return {"op7_exact_dedup": op7_exact_dedup, "op10_token_id_output": op10_token_id_output}
 
 
 def oracle_sql() -> dict[str, str]:
