@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortry.llm import exact_dedup, oracles, token_files
+from cohortry.llm import exact_dedup, oracles, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,8 +30,17 @@ def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_all(files, token_files.keys_of(docs)).drop("turn")
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.cut_pieces(_documents(spark, folder), BYTE_BPE, end_id=0)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_exact_dedup": op7_exact_dedup, "op10_token_id_output": op10_token_id_output}
+    return {
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_exact_dedup": op7_exact_dedup,
+        "op10_token_id_output": op10_token_id_output,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
