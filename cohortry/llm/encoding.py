@@ -1,12 +1,15 @@
-"""Token ids by the ``tokenizers`` library, each distinct piece of text encoded once.
+"""Token ids by the ``tokenizers`` library, each distinct word encoded once.
 
-Texts are cut where a token can never reach across, so the pieces' ids one after another are those of
+Texts are cut where a token can never reach across, so the words' ids one after another are those of
 the whole text. Two kinds of files are known, told apart by their word-end suffix:
 
-* word BPE (white space dropped): pieces end at each blank and line break. Every longer white space
-  inside a piece, special strings and letters are the library's work.
-* byte-level BPE (white space kept): a piece is a run of white space and the run of other characters
+* word BPE (white space dropped): words end at each blank and line break;
+* byte-level BPE (white space kept): a word is a run of white space and the run of other characters
   behind it; the library's own pattern always breaks between a character and white space after it.
+
+Words of plain Latin letters are cut further by the file's own pattern into pieces, which go straight to
+the library's BPE model, each distinct piece once. Words with anything else in them (special strings,
+control characters, letters that normalisation might change) are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -14,68 +17,109 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable
+import struct
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # white space as the library's pattern has it: without the separators U+001C to U+001F
-_BYTE_PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_BYTE_WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+# letters and signs that normalisation leaves alone, but for lower case
+_PLAIN = re.compile("[!-~\xa1-\u024f]+")
+_PLAIN_AFTER_BLANK = re.compile("[ \n]?[!-~\xa1-\u024f]+")
+_BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def ids_bytes(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the rest from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
-class PieceEncoder:
-    """``value`` of each piece's encoding, kept for up to ``limit`` distinct pieces."""
+class WordEncoder:
+    """Ids (little-endian 32-bit) of texts; up to ``limit`` distinct words and pieces are kept each."""
 
-    def __init__(self, path: str, value: Callable = ids_bytes, limit: int = 300_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            self.word_kind = bool(json.load(file)["model"].get("end_of_word_suffix"))
+            held = json.load(file)
+        self.word_kind = bool(held["model"].get("end_of_word_suffix"))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.value, self.limit = value, limit
-        self.known: dict[str, object] = {}
-
-    def pieces(self, text: str) -> list[str]:
+        pattern = held["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] if self.word_kind else _BYTE_PATTERN
+        # words are cut many at a time, with a zero byte after each
+        self.cut = regex.compile("\\0|" + pattern.replace(r"[^\s", r"[^\0\s")).findall
+        self.plain = (_PLAIN if self.word_kind else _PLAIN_AFTER_BLANK).fullmatch
+        self.special = "<|"
+        self.letters = dict(enumerate(byte_letters()))
+        self.model = self.tokenizer.model
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
         if self.word_kind:
             return text.replace("\n", " ").split(" ")
-        return _BYTE_PIECE.findall(text)
-
-    def learn(self, pieces: set[str]) -> None:
-        """Have the values of all these pieces at hand."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.limit:
+        return _BYTE_WORD.findall(text)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= self.limit:
+                self.pieces.clear()
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = pack_ids([token.id for token in self.model.tokenize(letters)])
+        return ids
+
+    def learn(self, words: set[str]) -> None:
+        """Have the ids of all these words at hand."""
+        if len(self.known) + len(words) > self.limit:
             self.known.clear()
-            new = list(pieces)
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
-            self.known.update(zip(part, map(self.value, self.encode(part)), strict=True))
-
-    def encode(self, pieces: list[str]) -> list:
-        return self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-
-    def values(self, text: str) -> list:
-        """The values of the text's pieces, in order."""
-        pieces = self.pieces(text)
-        self.learn(set(pieces))
-        return list(map(self.known.__getitem__, pieces))
+        plain = [word for word in words if self.plain(word) and self.special not in word]
+        joined = "\0".join([*plain, ""])
+        pieces, parts, done = self.pieces, [], []
+        for piece in self.cut(joined.lower() if self.word_kind else joined):
+            if piece == "\0":
+                done.append(b"".join(parts))
+                parts = []
+            else:
+                parts.append(pieces.get(piece) or self._piece(piece))
+        self.known.update(zip(plain, done, strict=True))
+        for word in words.difference(plain):
+            self.known[word] = pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words as ``split`` gives them."""
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = {word for word, held in zip(words, ids, strict=True) if held is None}
+            self.learn(new if len(self.known) + len(new) <= self.limit else set(words))
+            ids = list(map(self.known.__getitem__, words))
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.words(self.split(text)))
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(self.values(text)), "<u4")
+        return np.frombuffer(self.encode(text), "<u4")
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, value: Callable = ids_bytes) -> PieceEncoder:
-    """One encoder per Python worker, file and kind of value; its pieces serve all later tasks."""
-    key = (path, value)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, value)
-    return _encoders[key]
+def encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker and file; its words serve all later tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]

@@ -25,7 +25,7 @@ from cohortry.llm.words import slices
 
 CAPACITY = 2048
 # rows of one length are ranked in groups of about this many
-RANK_GROUP = 1 << 14
+RANK_GROUP = 1 << 10
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
@@ -43,7 +43,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
             rows = []
             texts = batch.column("text").fill_null("").to_pylist()
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = b"".join(encode.values(text)) + end
+                ids = encode.encode(text) + end
                 n = len(ids) // 4
                 bounds = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):

@@ -68,7 +68,7 @@ def write_token_files(
         for batch in slices(batches, limit=1 << 20):
             texts = batch.column("text").fill_null("").to_pylist()
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = np.frombuffer(b"".join(encode.values(text)) + end, "<u4")
+                ids = np.frombuffer(encode.encode(text) + end, "<u4")
                 if parts and (size + len(ids)) * np.dtype(dtype).itemsize > BLOCK_BYTES:
                     yield close()
                     block, before = block + 1, before + size

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortry.llm import token_files
-from cohortry.llm.encoding import PieceEncoder
+from cohortry.llm.encoding import WordEncoder
 from tests.llm.conftest import ODD
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,7 +15,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_pieces_encode_as_whole_texts(documents, name):
-    tokenizer, encoder = Tokenizer.from_file(public_tokenizers.path(name)), PieceEncoder(public_tokenizers.path(name), limit=500)
+    tokenizer, encoder = Tokenizer.from_file(public_tokenizers.path(name)), WordEncoder(public_tokenizers.path(name), limit=500)
     texts = [t or "" for _, t in ODD] + [r.text for r in documents.select("text").collect()]
     for text in texts:
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
