@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import exact_dedup, oracles, packing, token_files
+from cohortry.llm import chunk_codec, exact_dedup, minhash, oracles, packing, quality_classifier, substring_dedup, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,16 +20,39 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_documents(spark, folder))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, folder))
 
 
+def op8_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return chunk_codec.round_trip(_documents(spark, folder), WORD_BPE)
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    tables = token_counts.prefix_counts(_documents(spark, folder), WORD_BPE)
+    n_tokens = F.element_at("counts", -1).cast("long")
+    return tables.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > 2048).alias("over_limit"))
+
+
 def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     files = token_files.write_token_files(docs, WORD_BPE, end_id=2)
     return token_files.read_all(files, token_files.keys_of(docs)).drop("turn")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, folder))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.cut_pieces(_documents(spark, folder), BYTE_BPE, end_id=0)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
@@ -37,8 +60,13 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_bpe_round_trip": op8_bpe_round_trip,
+        "op9_token_counts": op9_token_counts,
         "op10_token_id_output": op10_token_id_output,
     }
 
