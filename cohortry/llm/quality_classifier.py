@@ -23,8 +23,8 @@ DIMENSIONS = 1 << 18
 # labelled rows that are learnt from, those with the least hash of their doc_id
 MAX_ROWS = 16_000
 SHARDS = 16
-PASSES = 4
-ALPHA, BETA, L1, L2 = 0.5, 1e-3, 1e-4, 1e-4
+PASSES = 6
+ALPHA, BETA, L1, L2 = 2.0, 1e-3, 1e-4, 1e-4
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")
