@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import chunk_codec, exact_dedup, minhash, oracles, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_files
+from cohortry.llm import chunk_codec, exact_dedup, minhash, oracles, packing, pseudo_likelihood, quality_classifier, quality_rules, substring_dedup, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,10 @@ def op10_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_all(files, token_files.keys_of(docs)).drop("turn")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(_documents(spark, folder))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.apply_rules(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -64,6 +68,7 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pseudo_likelihood": op1_pseudo_likelihood,
         "op2_quality_rules": op2_quality_rules,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_quality_classifier": op4_quality_classifier,

@@ -7,7 +7,8 @@ from cohortry.llm import substring_dedup
 from tests.llm.conftest import ODD
 
 
-def brute(rows, window):
+def survivors(rows, window):
+    """(doc_id, words, indexes of words that stay) of each row."""
     split = [(d, (t or "").encode().split()) for d, t in rows]
     first = {}
     for d, words in split:
@@ -15,17 +16,26 @@ def brute(rows, window):
             w = tuple(words[i : i + window])
             if d is not None:
                 first[w] = min(d, first.get(w, d))
-    out = []
     for d, words in split:
         gone = set()
         for i in range(len(words) - window + 1):
             if d is not None and first[tuple(words[i : i + window])] < d:
                 gone.update(range(i, i + window))
-        kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
-        out.append((d, len(words), len(gone), hashlib.sha256(kept).hexdigest()))
+        yield d, words, [i for i in range(len(words)) if i not in gone]
+
+
+def brute(rows, window):
+    out = []
+    for d, words, stay in survivors(rows, window):
+        kept = b" ".join(words[i] for i in stay)
+        out.append((d, len(words), len(words) - len(stay), hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
 
 
+def kept_text(rows, doc_id, window):
+    return next(b" ".join(words[i] for i in stay).decode() for d, words, stay in survivors(rows, window) if d == doc_id)
+
+
 def got(docs, **options):
     rows = substring_dedup.remove_repeats(docs, **options).collect()
     return sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in rows), key=str)
