@@ -9,12 +9,13 @@ the next pass begins. Scores are sparse dot products over every whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortry.llm.storage import stored
 from cohortry.llm.words import Words, hash_words, mix, slices, split_words
@@ -132,10 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.nd
     return solve(z, n)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, score: 0 to 1, higher for better documents; null and empty texts have the bias alone.
 
-    One row per row of ``docs``, repeated doc_ids included; other columns are ignored.
+    One row per row of ``docs``, repeated doc_ids included. Columns to ``carry`` come along in ``row``,
+    others are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -144,9 +146,16 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             words = split_words(batch.column("text"))
             row, index = features(words)
             margin = np.bincount(row, held.value[index], batch.num_rows) / np.maximum(words.per_text(), 1) + held.value[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_probability(margin))], names=["doc_id", "score"])
+            kept = [batch.column("row")] if carry else []
+            out = [batch.column("doc_id"), pa.array(_probability(margin)), *kept]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "row"][: len(out)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    rows = [F.struct(*carry).alias("row")] if carry else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rows)
+    out = T.StructType().add("doc_id", "long").add("score", "double")
+    for column in texts.schema[2:]:
+        out = out.add(column)
+    return texts.mapInArrow(run, out)
 
 
 def held_out():
@@ -154,13 +163,14 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted: trained on labels outside the held-out fifth, all documents scored.
+def classify(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS, carry: Sequence[str] = ()
+) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the row's columns to carry.
 
-    A null doc_id counts as held out.
+    Trained on labels outside the held-out fifth, all documents scored. A null doc_id counts as held out.
     """
     weights = train(docs, labels.filter(~held_out()), max_rows)
-    scored = score(docs, weights)
-    return scored.select(
-        "doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
-    )
+    predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
+    scored = score(docs, weights, carry)
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "score", predicted, *scored.columns[2:])
