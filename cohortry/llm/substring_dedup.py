@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.storage import stored
-from cohortry.llm.words import hash_windows, hash_words, mix, slices, split_words, window_starts
+from cohortry.llm.words import hash_sequences, hash_windows, hash_words, mix, slices, split_words, window_starts
 
 WINDOW = 50
 ANCHOR = 10
@@ -62,17 +62,22 @@ def _distinct(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Each document's distinct anchors."""
+    """Per text the number of its words, two hashes of them in order, and its distinct anchors."""
     for batch in slices(batches):
         words = split_words(batch.column("text"))
         starts, least = _anchors(hash_words(words), words.first, window, anchor)
         owner, least = _distinct(_owners(words.first, starts), least)
-        keys = [batch.column(k).take(pa.array(owner)) for k in ("doc_id", "version")]
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(least.view(np.int64))], names=["doc_id", "version", "anchor"])
+        bounds = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
+        same = [pa.array(hash_sequences(words, seed).view(np.int64)) for seed in (2, 3)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("version"), pa.array(words.per_text()), *same,
+             pa.ListArray.from_arrays(bounds, pa.array(least.view(np.int64)))],
+            names=["doc_id", "version", "n_words", "same_a", "same_b", "anchors"],
+        )
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Windows whose anchor is among those wanted of their document, with 128 bits of hash."""
+    """Windows whose anchor is among those wanted of their document, with 96 bits of hash."""
     for batch in slices(batches, limit=2 << 20):
         words = split_words(batch.column("text"))
         hashed = hash_words(words)
@@ -89,7 +94,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) ->
         keys = [batch.column(k).take(pa.array(owner)) for k in ("doc_id", "version")]
         place = pa.array((starts - words.first[owner]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [*keys, place, pa.array(high[starts].view(np.int64)), pa.array(low[starts].view(np.int64))],
+            [*keys, place, pa.array(high[starts].view(np.int64)), pa.array((low[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
             names=["doc_id", "version", "place", "high", "low"],
         )
 
@@ -98,13 +103,17 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     """Texts without the words that the listed windows cover."""
     for batch in slices(batches):
         totals, removed, kept = [], [], []
-        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("text", "version", "copies", "versions", "places"))
+        for text, version, copies, versions, places in zip(*columns, strict=True):
             words = (text or "").encode().split()  # bytes are split at exactly these six characters
             totals.append(len(words))
-            if places:
+            if copies and version in copies:
+                words = []
+            elif places:
+                places = [place for place, own in zip(places, versions, strict=True) if own == version]
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, places, 1)
-                np.add.at(change, np.array(places) + window, -1)
+                np.add.at(change, np.array(places, np.int64), 1)
+                np.add.at(change, np.array(places, np.int64) + window, -1)
                 stays = np.cumsum(change)[:-1] == 0
                 words = [word for word, stay in zip(words, stays.tolist(), strict=True) if stay]
             removed.append(totals[-1] - len(words))
@@ -134,26 +143,35 @@ def remove_repeats(
     )
     key = "doc_id long, version long"
     held = base.filter("doc_id IS NOT NULL").select("doc_id", "version", "text")
-    anchors = stored(held.mapInArrow(lambda it: _anchor_rows(it, window, anchor), f"{key}, anchor long"))
-
-    # count-min: the counters of one sketch row that reach two, partial sums first
-    counters = 1 << max(10, math.ceil(math.log2(max(anchors.count(), 1) * COUNTERS_PER_ANCHOR)))
-    likely = anchors
+    read = stored(
+        held.mapInArrow(
+            lambda it: _anchor_rows(it, window, anchor), f"{key}, n_words long, same_a long, same_b long, anchors array<long>"
+        )
+    )
+    # a text whose words are those of an earlier document loses them all; its windows need no look
+    groups = read.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    read = read.join(groups, ["same_a", "same_b"], "left").withColumn("copy", F.coalesce(F.expr("doc_id > first"), F.lit(False)))
+    copies = read.filter(F.col("copy") & (F.col("n_words") >= window)).groupBy("doc_id").agg(F.collect_set("version").alias("copies"))
+    likely = stored(read.filter("NOT copy").select("doc_id", F.explode("anchors").alias("anchor")))
+
+    # count-min, row after row: of anchors that an earlier row has let through, the counters that reach two
+    counters = 1 << max(10, math.ceil(math.log2(max(likely.count(), 1) * COUNTERS_PER_ANCHOR)))
     for row in range(SKETCH_ROWS):
         counter = F.pmod(F.xxhash64("anchor", F.lit(row)), F.lit(counters)).alias("counter")
-        busy = anchors.groupBy(counter).count().filter("count >= 2").select("counter")
-        likely = likely.withColumn("counter", counter).join(busy, "counter", "left_semi").drop("counter")
-    wanted = likely.groupBy("doc_id", "version").agg(F.collect_list("anchor").alias("anchors"))
+        busy = likely.groupBy(counter).count().filter("count >= 2").select("counter")
+        likely = stored(likely.withColumn("counter", counter).join(busy, "counter", "left_semi").drop("counter"))
+    wanted = likely.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     # one exchange of the texts serves this join and the last one
-    windows = base.join(wanted, ["doc_id", "version"]).mapInArrow(
-        lambda it: _window_rows(it, window, anchor), f"{key}, place int, high long, low long"
+    windows = base.join(wanted, "doc_id").mapInArrow(
+        lambda it: _window_rows(it, window, anchor), f"{key}, place int, high long, low int"
     )
-    first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.filter("first < last").select("high", "low", "first")
+    first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     later = windows.join(first, ["high", "low"]).filter("doc_id > first")
-    repeats = later.groupBy("doc_id", "version").agg(F.collect_list("place").alias("places"))
+    # both lists follow the same rows
+    repeats = later.groupBy("doc_id").agg(F.collect_list("version").alias("versions"), F.collect_list("place").alias("places"))
+    changes = repeats.join(copies, "doc_id", "full")
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     for column in base.schema[3:]:
         out = out.add(column)
-    return base.join(repeats, ["doc_id", "version"], "left").mapInArrow(lambda it: _cut(it, window), out)
+    return base.join(changes, "doc_id", "left").mapInArrow(lambda it: _cut(it, window), out)

@@ -134,3 +134,11 @@ def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     place = np.arange(max(int(first[-1]) - width + 1, 0))
     owner = np.searchsorted(first, place, "right") - 1
     return place[place + width <= first[owner + 1]]
+
+
+def hash_sequences(words: Words, seed: int) -> np.ndarray:
+    """64 bits for each text's words in order."""
+    own = hash_words(words, seed)
+    place = np.arange(len(own)) - np.repeat(words.first[:-1], words.per_text())
+    total = np.append(np.uint64(0), np.cumsum(mix(own ^ mix(place.astype(np.uint64)))))
+    return total[words.first[1:]] - total[words.first[:-1]]
