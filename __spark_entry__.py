@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import uuid
@@ -21,9 +22,9 @@ from cohortry.plans.contracts import CONTRACTS  # noqa: E402
 from cohortry.plans.warehouse import StoredWarehouse, Warehouse, build  # noqa: E402
 from cohortry.sources.delimited import read_all_string  # noqa: E402
 from cohortry.sources.orders_panel import ORDERS_SPEC, raw_panel  # noqa: E402
-from cohortry.sources.tables import TableSet, shared_folder  # noqa: E402
+from cohortry.sources.tables import TableSet, remove_folder, shared_folder  # noqa: E402
 from cohortry.spec import Window  # noqa: E402
-from cohortry.streaming.admission import streaming_admission_counts  # noqa: E402
+from cohortry.streaming.admission import read_admission_counts, run_admission_counts  # noqa: E402
 from cohortry.streaming.incremental import IncrementalLoad  # noqa: E402
 
 try:  # the training-data operators may be absent
@@ -41,6 +42,7 @@ ADMISSION = {"ts": "ts", "client": "user_id", "bucket": "1 day", "per_client": 5
 
 _defined: dict[tuple[str, str], Warehouse] = {}
 _built: dict[tuple[str, str], StoredWarehouse] = {}
+_loads: dict[tuple[str, str], IncrementalLoad] = {}
 
 
 def _lazy(spark: SparkSession, folder: str) -> Warehouse:
@@ -52,8 +54,15 @@ def _lazy(spark: SparkSession, folder: str) -> Warehouse:
 
 
 def _run_folder(spark: SparkSession, name: str) -> TableSet:
-    """A folder of this run's own, where every executor can reach it."""
-    return TableSet(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    """A folder of this run's own, where every executor can reach it; it goes when the program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return TableSet(spark, path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has been stopped
+        remove_folder(spark, path)
 
 
 def _stored(spark: SparkSession, folder: str) -> StoredWarehouse:
@@ -88,12 +97,24 @@ def staging_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest_strings(spark: SparkSession, folder: str) -> DataFrame:
-    """The raw panel through delimited files and back, as text."""
-    files = _run_folder(spark, "ingest").path("panel_csv")
-    raw_panel(spark, folder).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(files)
-    return read_all_string(spark, files, max_bad=0)
+    """The raw panel through delimited files and back, as text.
+
+    Half of the files have their columns in another order, and one holds only malformed lines.
+    """
+    tables, raw = _run_folder(spark, "ingest"), raw_panel(spark, folder)
+    plain = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    even = F.col("ncodpers").cast("bigint") % 2 == 0
+    raw.filter(even).write.options(**plain).csv(tables.path("files/a"))
+    raw.filter(~even).select(*reversed(raw.columns)).write.options(**plain).csv(tables.path("files/b"))
+    lines = spark.createDataFrame([(0, ",".join(raw.columns)), (1, "too,few,fields"), (2, ",".join("x" * 99))], "n int, line string")
+    lines.coalesce(1).sortWithinPartitions("n").select("line").write.text(tables.path("files/c"))
+    return read_all_string(spark, tables.path("files/*"), max_bad=2)
+
+
+def fct_customer_month(spark: SparkSession, folder: str) -> DataFrame:
+    """From the stored staging and resolution, so that the panel is computed once."""
+    stored = _stored(spark, folder)
+    return model.fct_customer_month(stored.panel, stored.resolved)
 
 
 def warehouse_build(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +162,7 @@ def _observed_targets(marts) -> DataFrame:
 
 
 def guard_findings(spark: SparkSession, folder: str) -> DataFrame:
-    marts = _lazy(spark, folder)
+    marts = _stored(spark, folder)
     found = guards.findings(digest_run.rate_series(marts), digest_run.rate_cells(marts), _observed_targets(marts))
     return found.drop("threshold_abs", "note").withColumns(
         {"sd": F.round("sd", 9), "threshold_sd": F.round("threshold_sd", 9)}
@@ -149,12 +170,12 @@ def guard_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def guard_suppressed(spark: SparkSession, folder: str) -> DataFrame:
-    marts = _lazy(spark, folder)
+    marts = _stored(spark, folder)
     return guards.suppressions(digest_run.rate_cells(marts), _observed_targets(marts))
 
 
 def guard_critique(spark: SparkSession, folder: str) -> DataFrame:
-    records = digest_run.review_all(_lazy(spark, folder))
+    records = digest_run.review_all(_stored(spark, folder))
     sizes = {"n_findings": "findings", "n_suppressed": "suppressed", "n_notes": "notes"}
     return records.select(
         "cohort_month", "window", "critic_passed", *[F.size(c).cast("bigint").alias(n) for n, c in sizes.items()]
@@ -217,14 +238,39 @@ def digest_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _without_json(_digest_table(digest_run.review_all(_stored(spark, folder))))
 
 
+FINDING = "kind string, segment string, cohort string, prior_cohort string, value double, prior_value double, n bigint, delta double, material boolean"
+SHOWN = (
+    "change_type string, material boolean, segment string, cohort string, prior_cohort string, adoption_rate string, "
+    "prior_adoption_rate string, change_pp string, cohort_cell_size bigint"
+)
+
+
+def _parsed(spark: SparkSession, folder: str, column: str, fields: str) -> DataFrame:
+    """The rows inside one JSON column of the digest table."""
+    rows = _digest_table(digest_run.review_all(_stored(spark, folder)))
+    items = F.from_json(column, f"array<struct<{', '.join(f.replace(' ', ':', 1) for f in fields.split(', '))}>>")
+    return rows.select("cohort_month", "metric_window", F.inline(items))
+
+
 def digest_json(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest_table(digest_run.review_all(_stored(spark, folder))).select(
-        "cohort_month", "metric_window", "findings_json", "suppressed_json", "notes_json"
-    )
+    return _parsed(spark, folder, "findings_json", FINDING)
+
+
+def digest_json_suppressed(spark: SparkSession, folder: str) -> DataFrame:
+    return _parsed(spark, folder, "suppressed_json", "suppressed boolean, reason string, segment string, n bigint")
+
+
+def digest_json_notes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _digest_table(digest_run.review_all(_stored(spark, folder)))
+    return rows.select("cohort_month", "metric_window", F.size(F.from_json("notes_json", "array<string>")).cast("bigint").alias("n_notes"))
 
 
 def digest_payload(spark: SparkSession, folder: str) -> DataFrame:
-    return digest.display_payload(digest_run.review_all(_stored(spark, folder)))
+    """The findings inside the display payload."""
+    shown = digest.display_payload(digest_run.review_all(_stored(spark, folder)))
+    fields = ", ".join(f.replace(" ", ":", 1) for f in SHOWN.split(", "))
+    held = F.from_json("payload", f"observation_window string, findings array<struct<{fields}>>")
+    return shown.select(held.alias("held")).select("held.observation_window", F.inline("held.findings"))
 
 
 def digest_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,13 +304,26 @@ def bi_heatmap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bi_heatmap_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return reads.heatmap_pivot(bi_heatmap(spark, folder), ["01 - TOP", "02 - RETAIL", "unknown"])
+    return reads.heatmap_pivot(_stored(spark, folder).cohort_adoption)
 
 
 def dq_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """All data tests of all written tables (the fixed calendar aside)."""
-    rules = {name: table_rules for name, table_rules in CONTRACTS.items() if name != "dim_date"}
-    return check_tables(_stored(spark, folder).tables(), rules)
+    """All data tests of all written tables."""
+    return check_tables(_stored(spark, folder).tables(), CONTRACTS)
+
+
+def table_if_absent(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that is there already is left as it is."""
+    tables, customers = _run_folder(spark, "absent"), _stored(spark, folder).dim_customer
+    tables.write_if_absent("dim_customer", customers)
+    return tables.write_if_absent("dim_customer", customers.limit(1))
+
+
+def view_of_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A named view, read in SQL."""
+    stored = _stored(spark, folder)
+    stored.stored.view("channels", stored.dim_channel)
+    return spark.sql("SELECT channel_label, channel_code FROM channels WHERE channel_code <> 'unknown'")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,34 +361,42 @@ def request_admission_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_admission(spark: SparkSession, folder: str) -> DataFrame:
-    """The event log as a stream. The bucket still open at its end is not reported."""
+    """The event log as a stream, every bucket of it."""
     tables = _run_folder(spark, "admission")
     schema = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    counts = streaming_admission_counts(
-        events.withColumn("ts", F.col("ts").cast("timestamp")), delay="1 hour", **ADMISSION
-    )
-    query = (
-        counts.writeStream.format("parquet")
-        .option("path", tables.path("counts"))
-        .option("checkpointLocation", tables.path("checkpoint"))
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return tables.read("counts").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
+    run_admission_counts(events, tables, "counts", **{k: ADMISSION[k] for k in ("ts", "client", "bucket")})
+    return read_admission_counts(tables, "counts", ADMISSION["per_client"], ADMISSION["global_cap"])
 
 
-def stream_incremental(spark: SparkSession, folder: str) -> DataFrame:
-    """The panel delivered as one file per month, loaded in several batches, then the curves."""
+def _loaded(spark: SparkSession, folder: str) -> IncrementalLoad:
+    """The panel delivered as one file per month, loaded in several batches; its end moves with each."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _loads:
+        _loads[key] = _load(spark, folder)
+    return _loads[key]
+
+
+def _load(spark: SparkSession, folder: str) -> IncrementalLoad:
     tables = _run_folder(spark, "incremental")
     source = tables.path("landing")
     raw = raw_panel(spark, folder).withColumn("load_month", F.substring("fecha_dato", 1, 7))
     raw.repartition("load_month").write.partitionBy("load_month").parquet(source)
     load = IncrementalLoad(tables, ORDERS_SPEC, buckets=8)
     load.run(spark, source, tables.path("checkpoint"), files_per_batch=27)
-    return tables.read("mart_adoption_curves")
+    return load
+
+
+def stream_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).tables.read("mart_adoption_curves")
+
+
+def stream_incremental_cohorts(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).tables.read("mart_cohort_adoption")
+
+
+def stream_incremental_customers(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).customers()
 
 
 def _llm_queries() -> dict[str, Query]:
@@ -342,11 +409,11 @@ def queries() -> dict[str, Query]:
         "staging_bands": staging_bands,
         "ingest_strings": ingest_strings,
         "adoption_resolved": _table("resolved"),
-        "dim_date": lambda spark, folder: model.panel_calendar(_lazy(spark, folder).panel),
+        "dim_date": lambda spark, folder: _stored(spark, folder).dim_date,
         "dim_customer": _table("dim_customer"),
         "dim_channel": _table("dim_channel"),
         "fct_customer": _table("fct_customer"),
-        "fct_customer_month": _table("fct_customer_month"),
+        "fct_customer_month": fct_customer_month,
         "warehouse_build": warehouse_build,
         "adoption_curves": _table("curves"),
         "adoption_curves_by_segment": _table("curves_by_segment"),
@@ -354,6 +421,7 @@ def queries() -> dict[str, Query]:
         "m_cohort_size": _metric("cohort_size"),
         "m_adoption_rate_3": _metric("adoption_rate", Window.MSA_3),
         "m_adoption_rate_6": _metric("adoption_rate", Window.MSA_6),
+        "m_adoption_rate_cohort": _metric("adoption_rate", Window.MSA_6, cohort="1995-05"),
         "m_adoption_rate_12": _metric("adoption_rate", Window.MSA_12),
         "m_adoption_rate_by_segment": _metric("adoption_rate", Window.MSA_6, dimension="segmento"),
         "m_adoption_rate_adjusted": _metric("adoption_rate_segment_adjusted", Window.MSA_6, 9),
@@ -381,6 +449,8 @@ def queries() -> dict[str, Query]:
         "digest_faithfulness": digest_faithfulness,
         "digest_rows": digest_rows,
         "digest_json": digest_json,
+        "digest_json_suppressed": digest_json_suppressed,
+        "digest_json_notes": digest_json_notes,
         "digest_payload": digest_payload,
         "digest_upsert": digest_upsert,
         "digest_latest": digest_latest,
@@ -390,6 +460,8 @@ def queries() -> dict[str, Query]:
         "bi_heatmap": bi_heatmap,
         "bi_heatmap_pivot": bi_heatmap_pivot,
         "dq_panel": dq_panel,
+        "table_if_absent": table_if_absent,
+        "view_of_table": view_of_table,
         "text_screen": text_screen,
         "text_screen_documents": text_screen_documents,
         "text_repeats": text_repeats,
@@ -398,6 +470,8 @@ def queries() -> dict[str, Query]:
         "request_admission_counts": request_admission_counts,
         "stream_admission": stream_admission,
         "stream_incremental": stream_incremental,
+        "stream_incremental_cohorts": stream_incremental_cohorts,
+        "stream_incremental_customers": stream_incremental_customers,
     }
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.calendar import month_gap, month_key
@@ -32,18 +30,12 @@ def calendar_months(bounds: DataFrame) -> DataFrame:
     )
 
 
-def dim_date(
-    spark: SparkSession, start: dt.date = dt.date(2015, 1, 1), end: dt.date = dt.date(2017, 12, 1)
-) -> DataFrame:
-    """Calendar over a fixed range."""
-    return calendar_months(spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end")))
-
-
-def panel_calendar(panel: DataFrame) -> DataFrame:
-    """Calendar over the months a panel spans."""
+def dim_date(panel: DataFrame) -> DataFrame:
+    """Calendar over all months of a panel, those of its snapshots and those of its cohorts."""
     return calendar_months(
         panel.agg(
-            F.trunc(F.min("snapshot_month"), "MM").alias("start"), F.trunc(F.max("snapshot_month"), "MM").alias("end")
+            F.trunc(F.least(F.min("snapshot_month"), F.min("acq_month")), "MM").alias("start"),
+            F.trunc(F.greatest(F.max("snapshot_month"), F.max("acq_month")), "MM").alias("end"),
         )
     )
 

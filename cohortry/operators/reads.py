@@ -53,26 +53,34 @@ def funnel_ratios(counts: DataFrame) -> DataFrame:
 
 
 def heatmap_cells(cohort_adoption: DataFrame) -> DataFrame:
-    """Cohort and segment cells observed for at least six months."""
-    return (
-        cohort_adoption.filter("fully_observed_6")
-        .select(
-            "acq_month",
-            "segmento",
-            "cohort_size",
-            "n_adopted",
-            "adoption_rate",
-            "fully_observed_6",
-            "fully_observed_12",
-            "n_right_censored",
-            month_label(F.col("acq_month")).alias("acq_month_label"),
-        )
-        .orderBy("acq_month", "segmento")
+    """Cohort and segment cells observed for at least six months, in reading order."""
+    return _observed_cells(cohort_adoption).orderBy("acq_month", "segmento")
+
+
+def _observed_cells(cohort_adoption: DataFrame) -> DataFrame:
+    return cohort_adoption.filter("fully_observed_6").select(
+        "acq_month",
+        "segmento",
+        "cohort_size",
+        "n_adopted",
+        "adoption_rate",
+        "fully_observed_6",
+        "fully_observed_12",
+        "n_right_censored",
+        month_label(F.col("acq_month")).alias("acq_month_label"),
     )
 
 
-def heatmap_pivot(cells: DataFrame, segments: Sequence[str] | None = None) -> DataFrame:
-    """One row per cohort, one column per segment. Naming the segments saves a pass to find them."""
-    grouped = cells.groupBy("acq_month_label")
-    pivoted = grouped.pivot("segmento", list(segments)) if segments is not None else grouped.pivot("segmento")
+def heatmap_pivot(cohort_adoption: DataFrame, segments: Sequence[str] | None = None) -> DataFrame:
+    """One row per cohort, one column per segment.
+
+    Naming the segments saves a pass to find them; a cell of a segment that is not named is an error.
+    """
+    cells = _observed_cells(cohort_adoption)
+    if segments is None:
+        segments = [row[0] for row in cells.select("segmento").distinct().orderBy("segmento").collect()]
+    else:
+        unlisted = F.raise_error(F.concat(F.lit("segment not listed: "), "segmento")).cast("string")
+        cells = cells.withColumn("segmento", F.when(F.col("segmento").isin(*segments), F.col("segmento")).otherwise(unlisted))
+    pivoted = cells.groupBy("acq_month_label").pivot("segmento", list(segments))
     return pivoted.agg(F.avg("adoption_rate")).orderBy("acq_month_label")

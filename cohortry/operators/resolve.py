@@ -38,16 +38,34 @@ def _retained(adopted: Column, months: int) -> Column:
     return F.when(adopted, F.array_contains("flagged_months", due))
 
 
+def merge_profiles(profiles: DataFrame) -> DataFrame:
+    """One profile per entity from profiles of parts of its history that share no snapshot."""
+    largest = ["acq_month", "last_obs_month", *ATTRIBUTES, "income_max", "age_max"]
+    merged = profiles.groupBy("customer_id").agg(
+        *[F.max(c).alias(c) for c in largest],
+        *[F.min(c).alias(c) for c in ("first_obs_month", "first_card_month")],
+        F.sum("n_snapshots_observed").alias("n_snapshots_observed"),
+        # a profile per load and entity, each with at most the panel's snapshots
+        F.array_distinct(F.flatten(F.collect_list("flagged_months"))).alias("flagged_months"),
+    )
+    return merged.select(*profiles.columns)
+
+
 def resolve_adoption(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """Cohort, adoption timing, censoring, gaps and retention per entity.
 
     Expects one panel row per entity and snapshot (see the ``unique`` rules in the contracts).
     """
+    return resolve_profiles(entity_profile(panel), spec)
+
+
+def resolve_profiles(profiles: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The same from profiles. A projection: whatever depends on the panel's end is decided here."""
     first, acquired = F.col("first_card_month"), F.col("acq_month")
     start, end = F.lit(spec.panel_start), F.lit(spec.panel_end)
     adopted = F.coalesce(first > F.col("first_obs_month"), F.lit(False))
     span = month_gap(F.col("last_obs_month"), F.col("first_obs_month")) + 1
-    return entity_profile(panel).select(
+    return profiles.select(
         "customer_id",
         "acq_month",
         "first_obs_month",

@@ -45,6 +45,7 @@ CONTRACTS: dict[str, list[Rule]] = {
         unique("customer_id"),
         relationship("customer_key", "dim_customer", "customer_key"),
         relationship("channel_key", "dim_channel", "channel_key"),
+        relationship("acq_date_key", "dim_date", "date_key"),
     ],
     "fct_customer_month": [
         *not_null(

@@ -42,6 +42,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     load.add_argument("--checkpoint", required=True)
     load.add_argument("--format", choices=("csv", "parquet"), default="csv")
     load.add_argument("--files-per-batch", type=int, default=1)
+    load.add_argument("--max-bad", type=int, default=100)
+    load.add_argument("--plain-lines", action="store_true", help="no line breaks inside fields: files may be split")
     return parser.parse_args(argv)
 
 
@@ -66,9 +68,8 @@ def main(argv: Sequence[str] | None = None) -> str:
             spark, StoredWarehouse(tables, spec), tables.path(DIGEST_TABLE), args.run_id, args.window,
             cohort=args.cohort, prior_cohort=args.prior_cohort,
         )
-    options = {"header": "true", "escape": '"', "multiLine": "true", "nullValue": "\x00"} if args.format == "csv" else {}
     IncrementalLoad(tables, spec).run(
-        spark, args.source, args.checkpoint, args.format, args.files_per_batch, **options
+        spark, args.source, args.checkpoint, args.format, args.files_per_batch, args.max_bad, not args.plain_lines
     )
     return f"loaded {args.source}"
 

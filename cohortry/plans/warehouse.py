@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators import marts, model
-from cohortry.operators.quality import check, check_tables
+from cohortry.operators.quality import check
 from cohortry.operators.resolve import resolve_adoption
 from cohortry.operators.staging import clean_panel
 from cohortry.plans.contracts import CONTRACTS
@@ -47,7 +47,7 @@ class Warehouse:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return model.dim_date(self.spark)
+        return model.dim_date(self.panel)
 
     @cached_property
     def dim_customer(self) -> DataFrame:
@@ -82,9 +82,6 @@ class Warehouse:
             "mart_cohort_adoption": self.cohort_adoption,
         }
 
-    def quality(self) -> DataFrame:
-        return check_tables(self.tables(), CONTRACTS)
-
 
 class StoredWarehouse(Warehouse):
     """The same tables read back from a folder that ``build`` has written."""
@@ -151,7 +148,7 @@ def build(
     if after_staging is not None:
         after_staging()
     store("int_customer_adoption_resolved", resolve_adoption(stored.panel, spec))
-    store("dim_date", lazy.dim_date)
+    store("dim_date", model.dim_date(stored.panel))
     store("dim_customer", model.dim_customer(stored.resolved))
     store("dim_channel", model.dim_channel(stored.panel))
     store("fct_customer", model.fct_customer(stored.resolved))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,36 +19,58 @@ def header_names(spark: SparkSession, path: str) -> list[str]:
     return [name.strip().strip('"') for name in first[0].split(",")]
 
 
-def _lines(spark: SparkSession, path: str, quoted_newlines: bool) -> DataFrame:
-    names = header_names(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]])
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("multiLine", quoted_newlines)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_RECORD)
-        # all columns are parsed, or rows with too many or too few fields would go unnoticed
-        .option("columnPruning", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        # an unquoted empty field is NULL, a quoted one is an empty text
-        .option("nullValue", "\x00")
-        .csv(path)
-    )
-
-
-def count_bad_records(spark: SparkSession, path: str, quoted_newlines: bool = True) -> int:
+def _by_header(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. Names and first lines of the files reach the driver, nothing else is read."""
+    files = sorted(row["path"] for row in spark.read.format("binaryFile").load(paths).select("path").collect())
+    if not files:
+        raise ValueError(f"no files in {paths}")
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        headers.setdefault(tuple(header_names(spark, file)), []).append(file)
+    return headers
+
+
+def _lines(spark: SparkSession, paths: str | list[str], quoted_newlines: bool) -> DataFrame:
+    """All files with their columns by name, in the order of the first file; all must have the same names."""
+    headers = _by_header(spark, paths)
+    order = list(next(iter(headers)))
+    parts = []
+    for names, files in headers.items():
+        if sorted(names) != sorted(order):
+            raise ValueError(f"columns of {files[0]} are {sorted(names)}, those of other files {sorted(order)}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_RECORD]])
+        lines = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", True)
+            .option("multiLine", quoted_newlines)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD_RECORD)
+            # all columns are parsed, or rows with too many or too few fields would go unnoticed
+            .option("columnPruning", False)
+            .option("quote", '"')
+            .option("escape", '"')
+            # an unquoted empty field is NULL, a quoted one is an empty text
+            .option("nullValue", "\x00")
+            .csv(files)
+        )
+        parts.append(lines.select(*order, BAD_RECORD))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def count_bad_records(spark: SparkSession, path: str | list[str], quoted_newlines: bool = True) -> int:
     """Rows whose number of fields differs from the header's."""
     lines = _lines(spark, path, quoted_newlines)
     return lines.agg(F.count_if(F.col(BAD_RECORD).isNotNull()), F.count(lines.columns[0])).first()[0]
 
 
 def read_all_string(
-    spark: SparkSession, path: str, max_bad: int = 100, quoted_newlines: bool = True
+    spark: SparkSession, path: str | list[str], max_bad: int = 100, quoted_newlines: bool = True
 ) -> DataFrame:
-    """All columns as text, header skipped, malformed rows left out; more than ``max_bad`` is an error.
+    """All columns as text, headers skipped, malformed rows left out; more than ``max_bad`` is an error.
+
+    Files may have their columns in different orders: each is read by its own header. The files are parsed
+    here to count malformed rows and again where the result is used; ``read_and_observe`` parses once.
 
     A file whose fields may hold line breaks cannot be split, so each file is one task: deliver
     large panels as many files (one per month, or smaller). Files without such fields are split
@@ -57,7 +81,7 @@ def read_all_string(
     return lines.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
 
 
-def read_and_observe(spark: SparkSession, path: str, quoted_newlines: bool = True) -> tuple[DataFrame, Observation]:
+def read_and_observe(spark: SparkSession, path: str | list[str], quoted_newlines: bool = True) -> tuple[DataFrame, Observation]:
     """As ``read_all_string``, but the files are parsed once only.
 
     Malformed rows are counted while the result is first written; ``observation.get["bad"]`` then

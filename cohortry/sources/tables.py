@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,23 +10,25 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can reach, from ``spark.checkpoint.dir``.
+    """Folder that the driver and every executor can reach.
 
-    Only a local session without that setting gets a folder of its own.
+    ``spark.checkpoint.dir`` where it is set, else the session's warehouse, which a cluster shares too.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="cohortry-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return folder.rstrip("/")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library, wherever it lies; one that is not there is fine."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and read back from a checkpoint, which outlives a lost executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
     return df.checkpoint()
 
 
@@ -63,17 +64,17 @@ def write_table(
     writer.parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
+def replace_partitions(df: DataFrame, path: str, *partition: str) -> None:
     """Overwrite exactly the partitions that occur in ``df`` and leave the others alone.
 
     Spark writes to a staging folder first, so ``df`` may be computed from the same table. The
     rebalance hint gathers each partition into few files and splits those that are too large.
     """
     (
-        df.hint("rebalance", partition)
+        df.hint("rebalance", *partition)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy(*partition)
         .parquet(path)
     )
 
@@ -105,16 +106,8 @@ class TableSet:
             write_table(df, self.path(name), "ignore")
         return self.read(name)
 
-    def write_bucketed(self, name: str, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """Catalog table bucketed and sorted by ``key``: grouping or joining on it needs no shuffle."""
-        (
-            df.write.mode("overwrite")
-            .bucketBy(buckets, key)
-            .sortBy(key)
-            .option("path", self.path(name))
-            .saveAsTable(name)
-        )
-        return self.spark.table(name)
+    def remove(self, name: str) -> None:
+        remove_folder(self.spark, self.path(name))
 
     def view(self, name: str, df: DataFrame) -> DataFrame:
         """Lazy definition under a name usable from SQL."""

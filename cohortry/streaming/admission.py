@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.operators.requests import client_counts, counts_per_bucket
+from cohortry.sources.tables import TableSet
 
-def streaming_admission_counts(
-    requests: DataFrame, ts: str, client: str, bucket: str, per_client: int, global_cap: int, delay: str
-) -> DataFrame:
-    """Per bucket: requests, those within the client cap, those admitted. Append mode.
 
-    Two chained windowed aggregates under one watermark: state is one count per open bucket and
-    client, and it is dropped when the bucket closes.
+def run_admission_counts(requests: DataFrame, tables: TableSet, name: str, ts: str, client: str, bucket: str) -> None:
+    """Count what has arrived since the last run, per bucket and client, into table ``name``.
+
+    Every batch overwrites its own part of the table, so a repeated batch counts once. There is no
+    watermark: late rows count in their bucket whenever they come, and the newest bucket is there too.
     """
-    by_client = (
-        requests.withWatermark(ts, delay)
-        .groupBy(F.window(F.col(ts), bucket), F.col(client))
-        .agg(F.count("*").alias("n"))
-    )
-    within = F.sum(F.least(F.col("n"), F.lit(per_client).cast("bigint")))
-    by_bucket = by_client.groupBy(F.window(F.window_time("window"), bucket)).agg(
-        F.sum("n").alias("requests"), within.alias("within_client_cap")
-    )
-    return by_bucket.select(
-        F.col("window.start").alias("bucket"),
-        "requests",
-        "within_client_cap",
-        F.least(F.col("within_client_cap"), F.lit(global_cap).cast("bigint")).alias("admitted"),
+
+    def write(batch: DataFrame, number: int) -> None:
+        counts = client_counts(batch, ts, client, bucket)
+        counts.write.mode("overwrite").parquet(tables.path(f"{name}/batch={number}"))
+
+    query = (
+        requests.writeStream.foreachBatch(write)
+        .option("checkpointLocation", tables.path(f"{name}_checkpoint"))
+        .trigger(availableNow=True)
+        .start()
     )
+    query.awaitTermination()
+
+
+def read_admission_counts(tables: TableSet, name: str, per_client: int, global_cap: int) -> DataFrame:
+    """Per bucket: requests, those within the client cap, those admitted, over all batches."""
+    clients = tables.read(name).groupBy("bucket", "client").agg(F.sum("n").alias("n"))
+    return counts_per_bucket(clients, per_client, global_cap)

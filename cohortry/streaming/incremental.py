@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortry.operators import marts, model
-from cohortry.operators.resolve import resolve_adoption
+from cohortry.operators.resolve import entity_profile, merge_profiles, resolve_profiles
 from cohortry.operators.staging import clean_panel
+from cohortry.sources.delimited import read_all_string
 from cohortry.sources.tables import TableSet, read_or_none, replace_partitions, write_table
 from cohortry.spec import PanelSpec
 
-PANEL, CUSTOMERS, INCREMENTS = "stg_customer_month", "fct_customer", "increments"
+PANEL, PROFILES, INCREMENT, LAYOUT = "stg_customer_month", "customer_profile", "increment", "layout"
 PANEL_KEY = ("customer_id", "snapshot_month")
 BUCKET = "customer_bucket"
+DEFAULT_BUCKETS = 64
 
 
 def one_per_key(panel: DataFrame) -> DataFrame:
@@ -30,60 +33,94 @@ def merge_panel(existing: DataFrame, increment: DataFrame) -> DataFrame:
 
 
 class IncrementalLoad:
-    """Keeps panel, customer fact and marts of one folder up to date.
+    """Keeps panel, customer profiles and marts of one folder up to date.
 
-    The panel is partitioned by snapshot, the customer fact by a hash of the customer: a load
-    rewrites the partitions it touches. Every step overwrites what it computes from its inputs, so
-    a load that is repeated after a failure ends in the same state.
+    The panel is partitioned by snapshot and hash bucket of the customer, profiles by bucket. A new month
+    is merged into the profiles of its customers without a look at their history; only customers whose stored
+    months are corrected are profiled anew, from the panel partitions of their buckets. What depends on the
+    panel's end, which moves with every month, is a projection of the profiles and never stored by customer.
+    A load that is repeated after a failure ends in the same state: it meets its own rows as corrections.
     """
 
-    def __init__(self, tables: TableSet, spec: PanelSpec, buckets: int = 64) -> None:
+    def __init__(self, tables: TableSet, spec: PanelSpec, buckets: int | None = None) -> None:
+        """``buckets`` is fixed by the first load and kept with the tables; later loads may leave it out."""
         self.tables = tables
         self.spec = spec
-        self.buckets = buckets
+        self.buckets = self._layout(buckets)
+
+    def _layout(self, buckets: int | None) -> int:
+        stored = read_or_none(self.tables.spark, self.tables.path(LAYOUT))
+        if stored is None:
+            chosen = buckets or DEFAULT_BUCKETS
+            self.tables.write(LAYOUT, self.tables.spark.range(1).select(F.lit(chosen).alias("buckets")))
+            return chosen
+        held = stored.first()["buckets"]
+        if buckets not in (None, held):
+            raise ValueError(f"the tables have {held} buckets, not {buckets}")
+        return held
 
     def apply(self, raw: DataFrame, batch: int) -> None:
         """Merge one batch of raw rows."""
         tables, spark = self.tables, raw.sparkSession
-        increment_name = f"{INCREMENTS}/batch={batch}"
+        panel = one_per_key(clean_panel(raw, self.spec))
+        bucket = F.pmod(F.hash("customer_id"), F.lit(self.buckets)).alias(BUCKET)
         # written once and read back: the batch is used several times below
-        increment = tables.write(increment_name, one_per_key(clean_panel(raw, self.spec)))
+        increment = tables.write(INCREMENT, panel.select("*", bucket))
         # one value per snapshot date, known to be few
         snapshots = [row[0] for row in increment.select("snapshot_month").distinct().collect()]
-        if not snapshots:
-            return
-        panel = read_or_none(spark, tables.path(PANEL))
-        merged = increment
-        if panel is not None:
-            merged = merge_panel(panel.filter(F.col("snapshot_month").isin(snapshots)), increment)
-        replace_partitions(merged, tables.path(PANEL), "snapshot_month")
-        self._refresh_customers(increment.select("customer_id").distinct())
-        self._refresh_marts()
-
-    def _bucketed(self, customers: DataFrame) -> DataFrame:
-        return customers.withColumn(BUCKET, F.pmod(F.hash("customer_id"), F.lit(self.buckets)))
-
-    def _refresh_customers(self, touched: DataFrame) -> None:
-        """Resolve the touched customers anew from their whole history."""
-        tables, spark = self.tables, touched.sparkSession
-        history = tables.read(PANEL).join(touched, "customer_id", "left_semi")
-        fresh = self._bucketed(model.fct_customer(resolve_adoption(history, self.spec)))
-        stored = read_or_none(spark, tables.path(CUSTOMERS))
+        if snapshots:
+            existing = read_or_none(spark, tables.path(PANEL))
+            corrected = None
+            if existing is not None:
+                existing = existing.filter(F.col("snapshot_month").isin(snapshots))
+                met = existing.join(increment.select(*PANEL_KEY), list(PANEL_KEY), "left_semi")
+                corrected = tables.write("corrected", met.select("customer_id", BUCKET).distinct())
+            merged = increment if existing is None else merge_panel(existing, increment)
+            replace_partitions(merged, tables.path(PANEL), "snapshot_month", BUCKET)
+            self._refresh_profiles(increment, corrected)
+            self._refresh_marts()
+            tables.remove("corrected")
+        tables.remove(INCREMENT)
+
+    def _buckets_of(self, rows: DataFrame) -> list[int]:
+        """At most ``buckets`` values."""
+        return [row[0] for row in rows.select(BUCKET).distinct().collect()]
+
+    def _refresh_profiles(self, increment: DataFrame, corrected: DataFrame | None) -> None:
+        tables, spark = self.tables, increment.sparkSession
+        stored = read_or_none(spark, tables.path(PROFILES))
+        fresh = increment
+        if corrected is not None:
+            fresh = increment.join(corrected, "customer_id", "left_anti")
+        parts = entity_profile(fresh)
         if stored is not None:
-            # at most ``buckets`` values
-            hit = [row[0] for row in self._bucketed(touched).select(BUCKET).distinct().collect()]
-            others = stored.filter(F.col(BUCKET).isin(hit)).join(touched, "customer_id", "left_anti")
-            fresh = others.select(*fresh.columns).unionByName(fresh)
-        replace_partitions(fresh, tables.path(CUSTOMERS), BUCKET)
+            held = stored.filter(F.col(BUCKET).isin(self._buckets_of(increment))).drop(BUCKET)
+            if corrected is not None:
+                held = held.join(corrected, "customer_id", "left_anti")
+            parts = merge_profiles(parts.unionByName(held))
+        if corrected is not None and not corrected.isEmpty():
+            history = tables.read(PANEL).filter(F.col(BUCKET).isin(self._buckets_of(corrected)))
+            parts = parts.unionByName(entity_profile(history.join(corrected, "customer_id", "left_semi")))
+        bucket = F.pmod(F.hash("customer_id"), F.lit(self.buckets)).alias(BUCKET)
+        replace_partitions(parts.select("*", bucket), tables.path(PROFILES), BUCKET)
+
+    def current_spec(self) -> PanelSpec:
+        """The spec with the panel's end at the last month that has arrived."""
+        last = self.tables.read(PROFILES).agg(F.trunc(F.max("last_obs_month"), "MM")).first()[0]
+        return replace(self.spec, panel_end=last)
+
+    def customers(self) -> DataFrame:
+        """The customer fact as of the last month that has arrived."""
+        profiles = self.tables.read(PROFILES).drop(BUCKET)
+        return model.fct_customer(resolve_profiles(profiles, self.current_spec()))
 
     def _refresh_marts(self) -> None:
-        tables = self.tables
-        customers = tables.read(CUSTOMERS)
-        write_table(marts.adoption_curves(customers, self.spec), tables.path("mart_adoption_curves"))
+        tables, spec, customers = self.tables, self.current_spec(), self.customers()
+        write_table(marts.adoption_curves(customers, spec), tables.path("mart_adoption_curves"))
         write_table(
-            marts.adoption_curves(customers, self.spec, ["segmento"]), tables.path("mart_adoption_curves_by_segment")
+            marts.adoption_curves(customers, spec, ["segmento"]), tables.path("mart_adoption_curves_by_segment")
         )
-        write_table(marts.cohort_adoption(customers, self.spec), tables.path("mart_cohort_adoption"))
+        write_table(marts.cohort_adoption(customers, spec), tables.path("mart_cohort_adoption"))
 
     def run(
         self,
@@ -92,19 +129,36 @@ class IncrementalLoad:
         checkpoint: str,
         file_format: str = "parquet",
         files_per_batch: int = 1,
-        **options: str,
+        max_bad: int = 100,
+        quoted_newlines: bool = True,
     ) -> None:
-        """Load every file below ``source`` that has not been loaded yet, then stop."""
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in self.spec.raw.values()])
-        stream = (
-            spark.readStream.format(file_format)
-            .schema(schema)
-            .options(**options)
+        """Load every file below ``source`` that has not been loaded yet, then stop.
+
+        The stream carries the names of new files; each batch reads its files with their own headers, so
+        columns are bound by name, whatever their order, and others than the spec's are ignored. More
+        than ``max_bad`` malformed rows in a batch of delimited files stop the load.
+        """
+        names = list(self.spec.raw.values())
+
+        def load(arrived: DataFrame, batch: int) -> None:
+            paths = [row["path"] for row in arrived.select("path").collect()]  # files_per_batch at most
+            if not paths:
+                return
+            if file_format == "csv":
+                raw = read_all_string(spark, paths, max_bad, quoted_newlines)
+            else:
+                raw = spark.read.format(file_format).load(paths)
+            self.apply(raw.select([F.col(name).cast("string").alias(name) for name in names]), batch)
+
+        arrivals = (
+            spark.readStream.format("binaryFile")
+            .schema("path string, modificationTime timestamp, length long, content binary")
             .option("maxFilesPerTrigger", files_per_batch)
             .load(source)
         )
         query = (
-            stream.writeStream.foreachBatch(self.apply)
+            arrivals.select("path")
+            .writeStream.foreachBatch(load)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()

@@ -288,21 +288,31 @@ DIM_DATE = """
   SELECT CAST(strftime(m, '%Y%m') AS BIGINT) AS date_key, m AS date_month, year(m) AS year, quarter(m) AS quarter,
          month(m) AS month, year(m) || '-Q' || quarter(m) AS year_quarter, strftime(m, '%b-%Y') AS month_label
   FROM (SELECT CAST(unnest(generate_series(
-          (SELECT CAST(date_trunc('month', min(snapshot_month)) AS DATE) FROM stg),
-          (SELECT CAST(date_trunc('month', max(snapshot_month)) AS DATE) FROM stg), INTERVAL 1 MONTH)) AS DATE) AS m)"""
+          (SELECT CAST(date_trunc('month', least(min(snapshot_month), min(acq_month))) AS DATE) FROM stg),
+          (SELECT CAST(date_trunc('month', greatest(max(snapshot_month), max(acq_month))) AS DATE) FROM stg),
+          INTERVAL 1 MONTH)) AS DATE) AS m)"""
 
 CURVE_COLUMNS = "acq_month, msa, as_of_month, n_observed, n_adopted_clean, adoption_rate, is_cell_right_censored, fully_observed_n"
 FIND_COLUMNS = """kind, 'adoption_rate' AS metric, win AS "window", segment, cohort, prior_cohort, value, prior_value, n, delta,
   material, abs(delta) AS abs_delta, round(sd, 9) AS sd, round(threshold_sd, 9) AS threshold_sd, insufficient_history"""
 
-INJECTION = (
-    r"(ignore (all |the )?previous)|(disregard (all |the )?(previous|above))|(system prompt)"
-    r"|(reveal your (instructions|prompt))|(you are now)|(act as)|(jailbreak)"
+# Phrases that mark an attempt to redirect the answering system.
+INJECTION_PATTERNS = (
+    r"ignore (all |the )?previous",
+    r"disregard (all |the )?(previous|above)",
+    r"system prompt",
+    r"reveal your (instructions|prompt)",
+    r"you are now",
+    r"act as",
+    r"jailbreak",
 )
+INJECTION = "|".join(f"({p})" for p in INJECTION_PATTERNS)
+
+# Words that mark a question as one about these metrics.
 VOCABULARY = (
-    "acquired acquisition adjusted adopted adoption card cohort conversion credit funnel metric msa rate "
-    "retain retention segment segmento size time vintage window"
-).split()
+    "acquired", "acquisition", "adjusted", "adopted", "adoption", "card", "cohort", "conversion", "credit", "funnel",
+    "metric", "msa", "rate", "retain", "retention", "segment", "segmento", "size", "time", "vintage", "window",
+)
 
 
 def _screen(table: str, columns: str, where: str = "TRUE") -> str:
@@ -330,6 +340,7 @@ QUALITY_BRANCHES = {
     "stg": ("stg_customer_month", "stg"),
     "fct": ("fct_customer", f"({FCT})"),
     "month": ("fct_customer_month", f"({FCT_MONTH})"),
+    "date": ("dim_date", f"({DIM_DATE})"),
     "dimc": ("dim_customer", f"({DIM_CUSTOMER})"),
     "dimch": ("dim_channel", f"({DIM_CHANNEL})"),
     "curves": ("mart_adoption_curves", "curves"),
@@ -362,10 +373,10 @@ def _quality() -> str:
     def within(source: str, column: str) -> None:
         rows(source, "accepted_range", column, f"{column} < 0 OR {column} > 1")
 
-    def has_parent(source: str, column: str, parent: str) -> None:
+    def has_parent(source: str, column: str, parent: str, key: str | None = None) -> None:
         rows(
             source, "relationships", column,
-            f"{column} IS NOT NULL AND {column} NOT IN (SELECT {column} FROM {QUALITY_BRANCHES[parent][1]})",
+            f"{column} IS NOT NULL AND {column} NOT IN (SELECT {key or column} FROM {QUALITY_BRANCHES[parent][1]})",
         )
 
     filled("stg", "customer_id snapshot_month card_flag")
@@ -376,6 +387,8 @@ def _quality() -> str:
     rows("stg", "accepted_values", "income_band", "income_band NOT IN ('low','mid','high','very_high','unknown')")
     rows("stg", "accepted_values", "card_flag", "card_flag NOT IN (0, 1)")
     once("stg", "unique_combination", "customer_id,snapshot_month")
+    filled("date", "date_key date_month")
+    once("date", "unique", "date_key")
     filled("dimc", "customer_key")
     once("dimc", "unique", "customer_key")
     filled("dimch", "channel_key")
@@ -388,6 +401,7 @@ def _quality() -> str:
     once("fct", "unique", "customer_id")
     has_parent("fct", "customer_key", "dimc")
     has_parent("fct", "channel_key", "dimch")
+    has_parent("fct", "acq_date_key", "date", "date_key")
     filled(
         "month",
         "customer_month_key customer_id snapshot_month card_flag is_within_panel_cohort is_adopted_clean has_panel_gaps",
@@ -532,8 +546,23 @@ def oracle_sql() -> dict[str, str]:
             JOIN (SELECT bucket, count(*) AS n FROM passed GROUP BY 1) p USING (bucket)""",
     }
     texts["stream_incremental"] = texts["adoption_curves"]
-    # the bucket that holds the newest event stays open in a stream
-    texts["stream_admission"] = f"""SELECT * FROM ({texts["request_admission_counts"]})
-        WHERE bucket < (SELECT date_trunc('day', max(ts)) FROM events)"""
+    texts["table_if_absent"] = texts["dim_customer"]
+    texts["view_of_table"] = f"""{PANEL} SELECT channel_label, channel_code FROM ({DIM_CHANNEL}) WHERE channel_code <> 'unknown'"""
+    texts["m_adoption_rate_cohort"] = f"SELECT * FROM ({_rate(6)}) WHERE cohort = '1995-05'"
+    written = f"""{PANEL}, kept AS (SELECT win, cohort FROM digests WHERE observed AND len({_wrong("prose", "allowed")}) = 0)"""
+    texts["digest_json"] = f"""{written} SELECT cohort AS cohort_month, win AS metric_window, kind, segment, cohort, prior_cohort,
+        value, prior_value, n, delta, material FROM finds JOIN kept USING (win, cohort)"""
+    texts["digest_json_suppressed"] = f"""{written} SELECT k.cohort AS cohort_month, k.win AS metric_window, TRUE AS suppressed,
+        'min_n' AS reason, c.segment, c.n FROM kept k JOIN targets t USING (win, cohort)
+        JOIN cells c ON c.win = k.win AND c.n < 50 AND c.cohort IN (t.cohort, t.prior_cohort)"""
+    texts["digest_json_notes"] = f"""{written} SELECT cohort AS cohort_month, win AS metric_window,
+        (SELECT count(*) FROM judged j WHERE j.win = k.win AND j.cohort = k.cohort AND j.insufficient_history) AS n_notes FROM kept k"""
+    texts["digest_payload"] = f"""{PANEL} SELECT win AS observation_window, kind AS change_type, material,
+        trim(regexp_replace(segment, '^\\s*\\d+\\s*-\\s*', '')) AS segment, cohort, prior_cohort,
+        printf('%.2f%%', value * 100) AS adoption_rate, printf('%.2f%%', prior_value * 100) AS prior_adoption_rate,
+        printf('%.2fpp', delta * 100) AS change_pp, n AS cohort_cell_size FROM finds"""
+    texts["stream_incremental_cohorts"] = texts["cohort_adoption"]
+    texts["stream_incremental_customers"] = texts["fct_customer"]
+    texts["stream_admission"] = texts["request_admission_counts"]
     texts["warehouse_build"] = texts["fct_customer_month"]
     return texts

@@ -9,14 +9,14 @@ from cohortry.operators import digest, guards
 from cohortry.plans import digest_run
 from tests.test_guards import cells, series, targets
 
-SEEN = [("2015-11", "02 - RETAIL", 0.0052, 2704), ("2015-10", "02 - RETAIL", 0.0484, 2600), ("2015-11", "01 - TOP", 0.5, 3)]
+SEEN = [("1997-08", "02 - RETAIL", 0.0725, 1358), ("1997-07", "02 - RETAIL", 0.0211, 1290), ("1997-08", "01 - TOP", 0.4, 7)]
 
 
 @pytest.fixture(scope="module")
 def records(spark):
-    values = [("2015-10", 0.0484), ("2015-11", 0.0052)]
+    values = [("1997-07", 0.0211), ("1997-08", 0.0725)]
     return guards.critique(
-        series(spark, values), cells(spark, SEEN), targets(spark, ("2015-11", "2015-10"))
+        series(spark, values), cells(spark, SEEN), targets(spark, ("1997-08", "1997-07"))
     ).cache()
 
 
@@ -31,33 +31,33 @@ def check(spark, text, figures):
 
 
 def test_allowed_figures(records):
-    assert allowed(records) == {"2015-11", "2015-10", "6", "0.52%", "4.84%", "-4.32pp", "4.32pp", "2704"}
+    assert allowed(records) == {"1997-08", "1997-07", "6", "7.25%", "2.11%", "5.14pp", "1358"}
 
 
 def test_figures_must_be_allowed(spark):
-    assert check(spark, "2015-11 fell to 0.52% (n=2,704), down 0.32 pp.", ["2015-11", "0.52%", "2704", "0.32pp"])["faithful"]
-    wrong = check(spark, "2015-11 fell to 0.99% and 0.99%, then 0.5%.", ["2015-11", "0.52%"])
-    assert not wrong["faithful"] and wrong["violations"] == ["0.99%", "0.5%"]
-    assert check(spark, "no figures at all", [])["faithful"]
+    assert check(spark, "7.25% of 13,580 in 1997-08, up by 1.5 pp", ["1997-08", "7.25%", "13580", "1.5pp"])["faithful"]
+    wrong = check(spark, "In 1997-08 it was 8.01%, then 7.2%, then 8.01% again", ["1997-08", "7.25%"])
+    assert not wrong["faithful"] and wrong["violations"] == ["8.01%", "7.2%"]
+    assert check(spark, "words alone", [])["faithful"]
 
 
 def test_template_is_faithful_and_an_altered_figure_is_not(records):
     good = digest.write_digests(records).first()
     assert good["faithful"] and good["violations"] == []
-    assert "0.52% against 4.84% for 2015-10, a change of -4.32pp" in good["prose"] and "Segment RETAIL" in good["prose"]
-    bad = digest.write_digests(records, F.concat(F.lit("Adoption fell to 0.19% in "), F.col("cohort_month"))).first()
-    assert not bad["faithful"] and bad["violations"] == ["0.19%"]
+    assert "7.25% against 2.11% for 1997-07, a change of 5.14pp" in good["prose"] and "Segment RETAIL" in good["prose"]
+    bad = digest.write_digests(records, F.concat(F.lit("It is 3.3% in "), F.col("cohort_month"))).first()
+    assert not bad["faithful"] and bad["violations"] == ["3.3%"]
 
 
 def test_rows_and_their_json(records):
     row = digest.digest_rows(digest.write_digests(records), "r1").first()
     assert (row["cohort_month"], row["metric_window"], row["dbt_run_id"], row["material_findings"]) == (
-        "2015-11", "msa_6", "r1", 2,
+        "1997-08", "msa_6", "r1", 2,
     )
     blended, segment = json.loads(row["findings_json"])
     assert blended["kind"] == "blended_delta" and "segment" not in blended and blended["materiality"]["sd"] is None
-    assert segment["segment"] == "02 - RETAIL" and segment["n"] == 2704
-    assert json.loads(row["suppressed_json"]) == [{"suppressed": True, "reason": "min_n", "segment": "01 - TOP", "n": 3}]
+    assert segment["segment"] == "02 - RETAIL" and segment["n"] == 1358
+    assert json.loads(row["suppressed_json"]) == [{"suppressed": True, "reason": "min_n", "segment": "01 - TOP", "n": 7}]
     assert json.loads(row["notes_json"]) == [guards.SHORT_HISTORY_NOTE]
 
 
@@ -71,8 +71,8 @@ def test_payload_shows_no_raw_numbers(records):
     payload = json.loads(digest.display_payload(records).first()["payload"])
     assert payload["suppressed"] == [{"reason": "min_n", "segment": "TOP"}]
     assert payload["findings"][1] == {
-        "change_type": "segment_delta", "material": True, "segment": "RETAIL", "cohort": "2015-11", "prior_cohort": "2015-10",
-        "adoption_rate": "0.52%", "prior_adoption_rate": "4.84%", "change_pp": "-4.32pp", "cohort_cell_size": 2704,
+        "change_type": "segment_delta", "material": True, "segment": "RETAIL", "cohort": "1997-08", "prior_cohort": "1997-07",
+        "adoption_rate": "7.25%", "prior_adoption_rate": "2.11%", "change_pp": "5.14pp", "cohort_cell_size": 1358,
     }
 
 

@@ -24,11 +24,13 @@ def test_funnel(spark, launch):
 
 
 def test_heatmap(launch):
-    heat = reads.heatmap_cells(launch.cohort_adoption)
-    assert heat.count() == 33
-    named = reads.heatmap_pivot(heat, ["01 - TOP", "02 - RETAIL", "unknown"])
+    cells = launch.cohort_adoption
+    assert reads.heatmap_cells(cells).count() == 33
+    named = reads.heatmap_pivot(cells, ["01 - TOP", "02 - RETAIL", "unknown"])
     assert named.columns == ["acq_month_label", "01 - TOP", "02 - RETAIL", "unknown"]
-    assert named.collect() == reads.heatmap_pivot(heat).collect() and named.count() == 11
+    assert named.collect() == reads.heatmap_pivot(cells).collect() and named.count() == 11
+    with pytest.raises(Exception, match="segment not listed: unknown"):
+        reads.heatmap_pivot(cells, ["01 - TOP", "02 - RETAIL"]).collect()
 
 
 def test_rules(spark):
@@ -75,10 +77,23 @@ def test_repeats(spark):
     assert len({r["question_key"] for r in marked}) == 2
 
 
-def test_caps_beyond_the_group_limit_are_refused(spark):
-    frame = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), 1)], "request long, ts timestamp, client long")
-    with pytest.raises(ValueError):
-        requests.admission(frame, "ts", "request", "client", "1 day", 5, 1001)
+def test_repeats_without_an_arrival(spark):
+    rows = [(None, "a", 1), (2, "A", 2), (3, "b", 3), (4, "b ", 4)]
+    marked = requests.mark_repeats(spark.createDataFrame(rows, "at long, text string, n long"), "text", ["at"])
+    assert {r["n"]: r["is_repeat"] for r in marked.collect()} == {1: False, 2: True, 3: False, 4: True}
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_large_caps_and_missing_times(spark, kind):
+    """One client has most requests; a request without a time is listed, not admitted."""
+    start = dt.datetime(2024, 1, 1)
+    log = [(i, start + dt.timedelta(seconds=i % 3000), 0 if i % 4 else i % 7 + 1) for i in range(4000)]
+    frame = spark.createDataFrame([*log, (9999, None, 0)], f"request long, ts {kind}, client long")
+    decided = requests.admission(frame, "ts", "request", "client", "1 hour", 1500, 2000)
+    got = {r["request"]: (r["bucket"], r["admitted"]) for r in decided.collect()}
+    want = admit([(i, ts, c) for i, ts, c in sorted(log, key=lambda r: (r[1], r[0]))], 1500, 2000)
+    assert got.pop(9999) == (None, False)
+    assert {i: admitted for i, (_, admitted) in got.items()} == want and {b for b, _ in got.values()} == {start}
 
 
 def admit(log, per_client, global_cap):
@@ -109,5 +124,3 @@ def test_admission_equals_the_sequential_limiter(spark, seed, per_client, global
     assert {r["request"]: r["admitted"] for r in decided.collect()} == want
     counts = requests.admission_counts(frame, **options).agg({"admitted": "sum", "requests": "sum"}).first()
     assert sum(counts) == sum(want.values()) + 400
-    plan = decided._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") >= 4

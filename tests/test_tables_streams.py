@@ -1,5 +1,6 @@
 import datetime as dt
 import tempfile
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from cohortry.plans.warehouse import QualityError, Warehouse, build
 from cohortry.sources.delimited import count_bad_records, header_names, read_all_string
 from cohortry.sources.orders_panel import raw_panel
 from cohortry.sources.tables import TableSet, replace_partitions, settle, shared_folder
-from cohortry.streaming.admission import streaming_admission_counts
+from cohortry.streaming.admission import read_admission_counts, run_admission_counts
 from cohortry.streaming.incremental import IncrementalLoad
 
 LINES = '"a" , b,c\n1,"",x\n2,,y\n3,"q ""in"" q","line1\nline2"\n 4 ,NA,  7\n5,too,many,fields\n6,few\n'
@@ -84,12 +85,12 @@ def test_checkpoint_folder_is_found(spark):
     assert settle(spark.range(4)).count() == 4
 
 
-def test_bucketed_panel_is_grouped_without_a_shuffle(spark, folder):
+def test_removed_tables_are_gone(spark, folder):
     tables = TableSet(spark, folder)
-    table = tables.write_bucketed("bucketed_panel", spark.range(1000).selectExpr("id % 50 as customer_id", "id"), "customer_id", 4)
-    plan = table.groupBy("customer_id").count()._jdf.queryExecution().executedPlan().toString()
-    spark.sql("drop table bucketed_panel")
-    assert "Exchange" not in plan
+    tables.write("t", spark.range(3))
+    tables.remove("t")
+    tables.remove("never there")
+    assert not tables.exists("t")
 
 
 def test_built_tables_equal_the_lazy_ones(spark, spec, launch, folder):
@@ -97,7 +98,10 @@ def test_built_tables_equal_the_lazy_ones(spark, spec, launch, folder):
     for name in ("curves", "curves_by_segment", "cohort_adoption", "fct_customer", "fct_customer_month", "dim_channel"):
         left, right = getattr(stored, name), getattr(launch, name)
         assert left.exceptAll(right.select(*left.columns)).isEmpty() and left.count() == right.count(), name
-    assert stored.dim_date.count() == 36
+    months = stored.panel.selectExpr("explode(array(snapshot_month, acq_month)) as day").selectExpr("trunc(day, 'MM') as date_month")
+    assert months.filter("date_month is not null").join(stored.dim_date, "date_month", "left_anti").isEmpty()
+    keys = stored.fct_customer.filter("acq_date_key is not null").selectExpr("acq_date_key as date_key")
+    assert keys.join(stored.dim_date, "date_key", "left_anti").isEmpty()
     pruned = stored.fct_customer_month.filter("snapshot_month = date'1995-03-28'")
     assert "PartitionFilters: [isnotnull(snapshot_month" in pruned._jdf.queryExecution().executedPlan().toString()
 
@@ -109,39 +113,104 @@ def test_build_stops_at_broken_data(spark, spec, folder):
     assert error.value.failures[0][:2] == ("stg_customer_month", "unique_combination")
 
 
-def test_incremental_loads_end_where_one_load_ends(spark, spec, folder):
-    """Months in several batches, one of them corrected later, one delivered twice."""
+def deliver(frame, path, shuffle=False):
+    """One delimited file; shuffled ones have their columns in another order and one that nobody asked for."""
+    if shuffle:
+        frame = frame.select(F.lit("x").alias("other"), *reversed(frame.columns))
+    frame.coalesce(1).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def assert_same(got, want, name=""):
+    got = got.select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count(), name
+
+
+@pytest.mark.parametrize("file_format", ["csv", "parquet"])
+def test_incremental_loads_end_where_one_load_ends(spark, spec, folder, file_format):
+    """Months in several batches, one of them corrected later, one delivered twice; the panel's end moves along."""
     raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1996, 6, 1)).cache()
     tables = TableSet(spark, folder)
     load = IncrementalLoad(tables, spec, buckets=4)
     early = raw.filter("fecha_dato < '1995-09-01'")
     wrong = early.withColumn("ind_tjcr_fin_ult1", F.when(F.col("fecha_dato") < "1995-03-01", "0").otherwise(F.col("ind_tjcr_fin_ult1")))
     landing, checkpoint = tables.path("landing"), tables.path("checkpoint")
-    wrong.coalesce(1).write.parquet(landing + "/1")
-    load.run(spark, landing + "/*", checkpoint)
-    raw.filter("fecha_dato >= '1995-09-01'").coalesce(1).write.parquet(landing + "/2")
-    load.run(spark, landing + "/*", checkpoint)
-    early.filter("fecha_dato < '1995-03-01'").coalesce(1).write.parquet(landing + "/3")
-    load.run(spark, landing + "/*", checkpoint)
-    load.run(spark, landing + "/*", checkpoint)
+
+    def send(frame, number):
+        if file_format == "csv":
+            deliver(frame, f"{landing}/{number}", shuffle=number % 2 == 0)
+        else:
+            frame.select(*reversed(frame.columns)).coalesce(1).write.parquet(f"{landing}/{number}")
+        load.run(spark, landing + "/*", checkpoint, file_format)
+
+    def compare(raw, end):
+        whole = Warehouse(raw, replace(spec, panel_end=end))
+        for name, want in (("stg_customer_month", whole.panel), ("mart_cohort_adoption", whole.cohort_adoption), ("mart_adoption_curves", whole.curves)):
+            assert_same(tables.read(name), want, name)
+        assert_same(load.customers(), whole.fct_customer)
+
+    send(wrong, 1)
+    compare(wrong, dt.date(1995, 8, 1))
+    send(raw.filter("fecha_dato >= '1995-09-01'"), 2)
+    send(early.filter("fecha_dato < '1995-03-01'"), 3)
+    load.run(spark, landing + "/*", checkpoint, file_format)
     load.apply(early.filter("fecha_dato < '1995-03-01'"), 99)
-    whole = Warehouse(raw, spec)
-    for name, want in (("stg_customer_month", whole.panel), ("fct_customer", whole.fct_customer), ("mart_cohort_adoption", whole.cohort_adoption)):
-        got = tables.read(name).select(*want.columns)
-        assert got.exceptAll(want).isEmpty() and got.count() == want.count(), name
+    compare(raw, spec.panel_end)
+    assert not tables.exists("increment") and not tables.exists("corrected")
+
+
+def test_incremental_load_keeps_its_buckets(spark, spec, folder):
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 4, 1)).cache()
+    IncrementalLoad(TableSet(spark, folder), spec, buckets=8).apply(raw, 0)
+    again = IncrementalLoad(TableSet(spark, folder), spec)
+    again.apply(raw, 1)
+    assert again.buckets == 8 and again.customers().count() == raw.select("ncodpers").distinct().count()
+    with pytest.raises(ValueError):
+        IncrementalLoad(TableSet(spark, folder), spec, buckets=64)
+
+
+def test_a_new_month_reads_no_history(spark, spec, folder, monkeypatch):
+    """The panel is read in the partitions of the months that arrive, and no others."""
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 6, 1)).cache()
+    tables = TableSet(spark, folder)
+    load = IncrementalLoad(tables, spec, buckets=2)
+    load.apply(raw.filter("fecha_dato < '1995-05-01'"), 0)
+    read = []
+    monkeypatch.setattr(tables, "read", lambda name: read.append(name) or TableSet.read(tables, name))
+    load.apply(raw.filter("fecha_dato >= '1995-05-01'"), 1)
+    assert "stg_customer_month" not in read
+
+
+def test_malformed_lines_stop_a_load(spark, spec, folder):
+    tables = TableSet(spark, folder)
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 2, 1))
+    deliver(raw, folder + "/in/1")
+    with open(folder + "/in/1/zz.csv", "w") as file:
+        file.write(",".join(raw.columns) + "\nfew,fields\n")
+    with pytest.raises(Exception, match="1 malformed"):
+        IncrementalLoad(tables, spec).run(spark, folder + "/in/*", folder + "/checkpoint", "csv", files_per_batch=9, max_bad=0)
+
+
+def test_files_are_read_by_their_own_headers(spark, folder):
+    for name, text in (("1", "a,b\n1,x\n"), ("2", "b,a\ny,2\n\"z\nz\",3\n"), ("3", "a,b\n4,w\n5\n")):
+        with open(f"{folder}/{name}.csv", "w") as file:
+            file.write(text)
+    got = read_all_string(spark, folder + "/*.csv", max_bad=1)
+    assert sorted(map(tuple, got.collect())) == [("1", "x"), ("2", "y"), ("3", "z\nz"), ("4", "w")]
+    with open(folder + "/4.csv", "w") as file:
+        file.write("a,c\n1,2\n")
+    with pytest.raises(ValueError, match="columns of"):
+        read_all_string(spark, folder + "/*.csv")
 
 
 def test_streamed_admission_counts(spark, folder):
-    rows = [(dt.datetime(2024, 1, d, h), c) for d in (1, 2, 3) for h in range(6) for c in (1, 1, 2)]
+    """In two deliveries, the second with rows of every earlier bucket; nothing is lost."""
+    rows = [(dt.datetime(2024, 1, d, h), c) for d in (1, 2, 3) for h in range(6) for c in (1, 1, 2)] + [(None, 5)]
     frame = spark.createDataFrame(rows, "ts timestamp, client long")
-    frame.write.parquet(folder + "/in")
-    options = dict(ts="ts", client="client", bucket="1 day", per_client=4, global_cap=7)
-    stream = spark.readStream.schema(frame.schema).parquet(folder + "/in")
-    query = (
-        streaming_admission_counts(stream, delay="1 hour", **options)
-        .writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    got = {tuple(r) for r in spark.table("admitted").collect()}
-    want = {tuple(r) for r in admission_counts(frame, **options).collect() if r["bucket"].day < 3}
-    assert got == want and {r[1:] for r in got} == {(18, 8, 7)}
+    tables = TableSet(spark, folder)
+    for part in (0, 1):
+        frame.filter(F.coalesce(F.hour("ts"), F.lit(0)) % 2 == part).coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = spark.readStream.schema(frame.schema).parquet(folder + "/in")
+        run_admission_counts(stream, tables, "counts", "ts", "client", "1 day")
+    got = {tuple(r) for r in read_admission_counts(tables, "counts", 4, 7).collect()}
+    want = {tuple(r) for r in admission_counts(frame, "ts", "client", "1 day", 4, 7).collect()}
+    assert got == want and {r[1:] for r in got} == {(18, 8, 7)} and len(got) == 3
