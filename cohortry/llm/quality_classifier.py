@@ -20,10 +20,10 @@ from pyspark.sql import types as T
 from cohortry.llm.storage import stored
 from cohortry.llm.words import Words, hash_words, mix, slices, split_words
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 17
 # labelled rows that are learnt from, those with the least hash of their doc_id
 MAX_ROWS = 16_000
-SHARDS = 16
+SHARDS = 8
 PASSES = 6
 ALPHA, BETA, L1, L2 = 2.0, 1e-3, 1e-4, 1e-4
 
