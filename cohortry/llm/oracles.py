@@ -1,6 +1,27 @@
 """DuckDB SQL of the queries of this subpackage that SQL can express."""
 
 SQL = {
+    "op6_substring_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, list_slice(words, i, i + 49) AS body FROM split, unnest(range(1, len(words) - 48)) AS t(i)
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first FROM windows) WHERE first < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, j FROM later, unnest(range(i, i + 50)) AS u(j)
+        ), placed AS (
+            SELECT s.doc_id, p.j, s.words[p.j] AS word, g.j IS NULL AS stays
+            FROM split s, unnest(range(1, len(s.words) + 1)) AS p(j) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.j = p.j
+        ), kept AS (
+            SELECT doc_id, count(*) FILTER (WHERE NOT stays) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY j) FILTER (WHERE stays), '') AS body FROM placed GROUP BY doc_id
+        )
+        SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed,
+               sha256(coalesce(k.body, '')) AS kept_sha256
+        FROM split s LEFT JOIN kept k USING (doc_id)
+    """,
     "op7_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
