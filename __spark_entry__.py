@@ -382,7 +382,7 @@ def _load(spark: SparkSession, folder: str) -> IncrementalLoad:
     source = tables.path("landing")
     raw = raw_panel(spark, folder).withColumn("load_month", F.substring("fecha_dato", 1, 7))
     raw.repartition("load_month").write.partitionBy("load_month").parquet(source)
-    load = IncrementalLoad(tables, ORDERS_SPEC, buckets=8)
+    load = IncrementalLoad(tables, ORDERS_SPEC, buckets=2)
     load.run(spark, source, tables.path("checkpoint"), files_per_batch=27)
     return load
 
