@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -43,6 +45,7 @@ ADMISSION = {"ts": "ts", "client": "user_id", "bucket": "1 day", "per_client": 5
 _defined: dict[tuple[str, str], Warehouse] = {}
 _built: dict[tuple[str, str], StoredWarehouse] = {}
 _loads: dict[tuple[str, str], IncrementalLoad] = {}
+_shipped: set[str] = set()
 
 
 def _lazy(spark: SparkSession, folder: str) -> Warehouse:
@@ -399,8 +402,27 @@ def stream_incremental_customers(spark: SparkSession, folder: str) -> DataFrame:
     return _loaded(spark, folder).customers()
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, wherever the program was started."""
+    if spark.sparkContext.applicationId not in _shipped:
+        _shipped.add(spark.sparkContext.applicationId)
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="code-")), "cohortry")
+        spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, "cohortry"))
+
+
+def _with_package(query: Query) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        _ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def _llm_queries() -> dict[str, Query]:
-    return {} if llm is None else {**llm.queries(), "pipeline": corpus_pipeline.run}
+    if llm is None:
+        return {}
+    return {name: _with_package(query) for name, query in {**llm.queries(), "pipeline": corpus_pipeline.run}.items()}
 
 
 def queries() -> dict[str, Query]:
