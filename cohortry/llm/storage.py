@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortry.sources.tables import remove_folder, shared_folder
+
+_roots: set[str] = set()
+
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share.
+    """A new folder that the driver and all executors share; all of an application's go when it ends.
 
     Taken from ``spark.checkpoint.dir``; a session without that setting uses its warehouse folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots.add(root)
+        atexit.register(_forget, spark, root)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, root: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has been stopped
+        remove_folder(spark, root)
 
 
 def stored(df: DataFrame) -> DataFrame:
