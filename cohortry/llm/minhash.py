@@ -8,14 +8,14 @@ darts, and the earliest dart of each coordinate agrees with probability (weighte
 document looks at about k ln k darts, however many elements it has.
 
 Bands of the signature are buckets. Texts with the same words are one node. Small buckets compare all their
-nodes, large ones compare every node with a few pivots, chosen anew for each bucket; nodes of a large bucket
-that still lie in different classes are dealt by a second band as well and compared again. Only compared pairs
+nodes, large ones compare every node with two pivots; nodes of a large bucket
+that still lie in different classes are dealt by a second band as well and compared with pivots of other classes there. Only compared pairs
 of the given similarity, computed exactly from all their shingles, are links; classes are what links connect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,15 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.components import components
 from cohortry.llm.storage import stored
-from cohortry.llm.words import Words, hash_windows, hash_words, mix, slices, split_words, window_starts
+from cohortry.llm.words import Words, hash_sequences, hash_windows, hash_words, mix, slices, split_words, window_starts
 
 SHINGLE = 5
 THRESHOLD = 0.8
 # at the threshold a pair misses all bands once in 30,000 times: (1 - 0.8^5)^26
 BANDS = 26
 ROWS = 5
-# buckets up to this size compare all their nodes; beyond it, each node with so many pivots
+# buckets up to this size compare all their nodes, larger ones each node with two pivots
 SMALL = 16
-PIVOTS = 4
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -137,12 +136,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int,
         has = words.per_text() > 0
         hashed = band_hashes(signature[has], bands, rows)
         bounds = np.append(0, np.cumsum(np.where(has, bands, 0)))
-        same = []
-        for seed in (2, 3):
-            own = hash_words(words, seed)
-            place = np.arange(len(own)) - np.repeat(words.first[:-1], words.per_text())
-            sums = np.append(np.uint64(0), np.cumsum(mix(own ^ mix(place.astype(np.uint64)))))
-            same.append(pa.array((sums[words.first[1:]] - sums[words.first[:-1]]).view(np.int64)))
+        same = [pa.array(hash_sequences(words, seed).view(np.int64)) for seed in (2, 3)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *same, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashed.reshape(-1).view(np.int64)))],
             names=["doc_id", "same_a", "same_b", "bands"],
@@ -162,24 +156,46 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], width: int, counted: bool)
         )
 
 
-def _pairs(dealt: DataFrame, small: int, pivots: int) -> DataFrame:
-    """(a, b) with a < b to compare, from (bucket, node): pivots are the nodes whose hash with the bucket is least.
+def _crowded(dealt: DataFrame) -> DataFrame:
+    """(bucket, node, size) of the buckets with more than one node; most buckets hold one and go here."""
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    return stored(dealt.join(sizes, "bucket").select("bucket", "node", "size"))
 
-    A bucket's pivots come from a bounded partial aggregate, so no bucket is ever one task's list.
+
+def _pairs(crowded: DataFrame, small: int) -> DataFrame:
+    """(a, b) with a < b to compare.
+
+    A small bucket is a list, each node of a large one meets two pivots: the node whose own hash is least,
+    often the same in many buckets, and the one whose hash with the bucket is least, another in each. Both
+    are minima, so no bucket is ever one task's list.
     """
-    drawn = dealt.withColumn("draw", F.xxhash64("bucket", "node"))
-    sizes = drawn.groupBy("bucket").agg(F.count("*").alias("size"))
-    crowded = drawn.join(sizes.filter("size > 1"), "bucket")
     few = crowded.filter(F.col("size") <= small).groupBy("bucket").agg(F.collect_list("node").alias("pivot"))
-    many = crowded.filter(F.col("size") > small)
-    # the least of each slice of draws is a pivot: a minimum per bucket and slice
-    slots = many.groupBy("bucket", F.pmod("draw", F.lit(pivots)).alias("slice")).agg(F.min_by("node", "draw").alias("node"))
-    chosen = slots.groupBy("bucket").agg(F.collect_list("node").alias("pivot"))
-    met = crowded.select("bucket", "node").join(few.unionByName(chosen), "bucket").select("node", F.explode("pivot").alias("pivot"))
+    least = [F.min_by("node", F.xxhash64("node")), F.min_by("node", F.xxhash64("bucket", "node"))]
+    many = crowded.filter(F.col("size") > small).groupBy("bucket").agg(F.array(*least).alias("pivot"))
+    met = crowded.join(few.unionByName(many), "bucket").select("node", F.explode("pivot").alias("pivot"))
     ordered = met.filter("node != pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
     return ordered.distinct()
 
 
+def _pairs_between(dealt: DataFrame) -> DataFrame:
+    """(a, b) of different classes to compare, from (bucket, node, class).
+
+    In every bucket the class with most nodes names two of them, and so do all others together; each node
+    meets the two of the other side. Pairs are at most two for a row, whatever the bucket.
+    """
+    least = lambda node, *key: F.min(F.struct(F.xxhash64(*key, node).alias("draw"), F.col(node).alias("node")))
+    sides = dealt.groupBy("bucket", "class").agg(
+        F.count("*").alias("n"), least("node").alias("steady"), least("node", "bucket").alias("fresh")
+    )
+    major = sides.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("major"), F.count("*").alias("classes"))
+    major = major.filter("classes > 1").select("bucket", "major")
+    named = sides.join(major, "bucket").withColumn("of_major", F.col("class") == F.col("major"))
+    pivots = named.groupBy("bucket", "major", "of_major").agg(F.min("steady.node").alias("steady"), F.min("fresh").alias("fresh"))
+    pivots = pivots.select("bucket", "major", "of_major", F.explode(F.array_distinct(F.array("steady", "fresh.node"))).alias("pivot"))
+    met = dealt.join(pivots, "bucket").filter((F.col("class") == F.col("major")) != F.col("of_major"))
+    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = SHINGLE,
@@ -188,7 +204,6 @@ def near_duplicates(
     rows: int = ROWS,
     weights: str = "set",
     small: int = SMALL,
-    pivots: int = PIVOTS,
 ) -> DataFrame:
     """doc_id, class_id, kept: classes of texts connected by Jaccard similarity of ``threshold`` or more.
 
@@ -206,26 +221,26 @@ def near_duplicates(
     nodes = stored(
         known.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     )
-    numbered_bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    pairs = _pairs(numbered_bands.select("bucket", "node"), small, pivots)
-    sets = _sets_of(texts, lambda it: _shingle_sets(it, width, counted))
-    links = stored(_verified(pairs, sets, threshold))
+    crowded = _crowded(nodes.select(F.explode("bands").alias("bucket"), "node"))
+    # texts are exchanged once, whatever number of them is named: only sets of these are kept
+    named = crowded.select("node").distinct().hint("merge")
+    wanted = texts.withColumnRenamed("doc_id", "node").join(named, "node", "left_semi")
+    made = wanted.mapInArrow(lambda it: _shingle_sets(it, width, counted), "node long, shingles array<long>")
+    # rows of one doc_id are one document: its shingles are those of all its texts
+    sets = stored(made.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("shingles"))).alias("shingles")))
+    links = stored(_verified(_pairs(crowded, small), sets, threshold))
     classes = stored(components(links))
 
     # large buckets that hold more than one class are looked at again, two bands at a time
-    bucket_sizes = numbered_bands.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > small)
-    placed = numbered_bands.join(bucket_sizes.select("bucket"), "bucket").join(classes, "node", "left")
+    placed = crowded.filter(F.col("size") > small).join(classes, "node", "left")
     placed = stored(placed.select("bucket", "node", F.coalesce("class", "node").alias("class")))
     split = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other")).filter("one < other")
     if not split.isEmpty():
-        again = placed.join(split.select("bucket"), "bucket").select("bucket", "node").join(nodes.select("node", "bands"), "node")
-        finer = again.select("node", F.col("bucket").alias("first"), F.explode("bands").alias("second")).filter("first != second")
-        pair_key = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
-        dealt = finer.select(pair_key.alias("bucket"), "node").distinct()
-        # pairs inside one class would change nothing
-        fresh = _pairs(dealt, small, pivots).join(classes.toDF("a", "class_a"), "a", "left").join(classes.toDF("b", "class_b"), "b", "left")
-        fresh = fresh.filter(F.coalesce("class_a", "a") != F.coalesce("class_b", "b")).select("a", "b").join(links, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(fresh, sets, threshold))
+        again = placed.join(split.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node")
+        finer = again.select("node", "class", F.col("bucket").alias("first"), F.explode("bands").alias("second"))
+        both = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
+        dealt = finer.filter("first != second").select(both.alias("bucket"), "node", "class").distinct()
+        links = links.unionByName(_verified(_pairs_between(stored(dealt)), sets, threshold))
 
     # a copy is linked to the node of its words; a doc_id with several texts joins their classes
     copies = known.join(nodes.filter("copies > 1").select("same_a", "same_b", "node"), ["same_a", "same_b"])
@@ -237,24 +252,9 @@ def near_duplicates(
     return joined.select("doc_id", class_id.alias("class_id"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _sets_of(texts: DataFrame, make: Callable) -> Callable[[DataFrame], DataFrame]:
-    """Shingle sets of the nodes that a table of pairs names; only their texts are read on."""
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = texts.withColumnRenamed("doc_id", "node").join(named, "node", "left_semi")
-        made = wanted.mapInArrow(make, "node long, shingles array<long>")
-        # rows of one doc_id are one document: its shingles are those of all its texts
-        return made.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("shingles"))).alias("shingles"))
-
-    return sets
-
-
-def _verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose shingle sets have the similarity."""
-    pairs = stored(pairs)
-    held = stored(sets(pairs))
-    both = pairs.join(held.toDF("a", "left"), "a").join(held.toDF("b", "right"), "b")
+    both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
     shared = F.size(F.array_intersect("left", "right"))
     alike: Column = shared >= F.lit(threshold) * (F.size("left") + F.size("right") - shared)
     return both.filter(alike).select("a", "b")
