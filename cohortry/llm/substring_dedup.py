@@ -91,11 +91,18 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) ->
         starts, owner = starts[take], owner[take]
         high = hash_windows(hashed, window, _BASES[0])
         low = hash_windows(hash_words(words, 1), window, _BASES[1])
+        high, low = high[starts], low[starts]
+        # one word over and over is one window at many places in a row: a single entry
+        ahead = (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)
+        begin = np.flatnonzero(np.append(True, ahead)[: len(starts)])
+        run = np.diff(np.append(begin, len(starts)))
+        starts, owner = starts[begin], owner[begin]
         keys = [batch.column(k).take(pa.array(owner)) for k in ("doc_id", "version")]
         place = pa.array((starts - words.first[owner]).astype(np.int32))
+        high, low = high[begin].view(np.int64), (low[begin] >> np.uint64(32)).astype(np.uint32).view(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [*keys, place, pa.array(high[starts].view(np.int64)), pa.array((low[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-            names=["doc_id", "version", "place", "high", "low"],
+            [*keys, place, pa.array(run.astype(np.int32)), pa.array(high), pa.array(low)],
+            names=["doc_id", "version", "place", "run", "high", "low"],
         )
 
 
@@ -103,17 +110,18 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
     """Texts without the words that the listed windows cover."""
     for batch in slices(batches):
         totals, removed, kept = [], [], []
-        columns = (batch.column(c).to_pylist() for c in ("text", "version", "copies", "versions", "places"))
-        for text, version, copies, versions, places in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("text", "version", "copies", "versions", "places", "runs"))
+        for text, version, copies, versions, places, runs in zip(*columns, strict=True):
             words = (text or "").encode().split()  # bytes are split at exactly these six characters
             totals.append(len(words))
             if copies and version in copies:
                 words = []
             elif places:
-                places = [place for place, own in zip(places, versions, strict=True) if own == version]
+                own = np.array(versions) == version
+                places, runs = np.array(places, np.int64)[own], np.array(runs, np.int64)[own]
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, np.array(places, np.int64), 1)
-                np.add.at(change, np.array(places, np.int64) + window, -1)
+                np.add.at(change, places, 1)
+                np.add.at(change, places + runs - 1 + window, -1)
                 stays = np.cumsum(change)[:-1] == 0
                 words = [word for word, stay in zip(words, stays.tolist(), strict=True) if stay]
             removed.append(totals[-1] - len(words))
@@ -164,12 +172,13 @@ def remove_repeats(
 
     # one exchange of the texts serves this join and the last one
     windows = base.join(wanted, "doc_id").mapInArrow(
-        lambda it: _window_rows(it, window, anchor), f"{key}, place int, high long, low int"
+        lambda it: _window_rows(it, window, anchor), f"{key}, place int, run int, high long, low int"
     )
     first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     later = windows.join(first, ["high", "low"]).filter("doc_id > first")
-    # both lists follow the same rows
-    repeats = later.groupBy("doc_id").agg(F.collect_list("version").alias("versions"), F.collect_list("place").alias("places"))
+    # the lists follow the same rows
+    lists = {"version": "versions", "place": "places", "run": "runs"}
+    repeats = later.groupBy("doc_id").agg(*[F.collect_list(c).alias(name) for c, name in lists.items()])
     changes = repeats.join(copies, "doc_id", "full")
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     for column in base.schema[3:]:
