@@ -8,8 +8,9 @@ darts, and the earliest dart of each coordinate agrees with probability (weighte
 document looks at about k ln k darts, however many elements it has.
 
 Bands of the signature are buckets. Texts with the same words are one node. Small buckets compare all their
-nodes, large ones compare every node with two pivots; nodes of a large bucket
-that still lie in different classes are dealt by a second band as well and compared with pivots of other classes there. Only compared pairs
+nodes, large ones compare every node with two pivots, which joins most of a large group; the nodes of a large bucket
+that still lie in different classes are then compared with every node of another class that a prefix filter (rare
+shared shingles, sizes, places) does not rule out, so no pair of a bucket is missed. Only compared pairs
 of the given similarity, computed exactly from all their shingles, are links; classes are what links connect.
 """
 
@@ -31,8 +32,10 @@ THRESHOLD = 0.8
 # at the threshold a pair misses all bands once in 30,000 times: (1 - 0.8^5)^26
 BANDS = 26
 ROWS = 5
-# buckets up to this size compare all their nodes, larger ones each node with two pivots
+# buckets up to this size compare all their nodes, larger ones each node with two pivots before they are closed
 SMALL = 16
+# nodes of one shingle that a task compares at a time
+BLOCK = 256
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -177,23 +180,53 @@ def _pairs(crowded: DataFrame, small: int) -> DataFrame:
     return ordered.distinct()
 
 
-def _pairs_between(dealt: DataFrame) -> DataFrame:
-    """(a, b) of different classes to compare, from (bucket, node, class).
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, node, class, size, place) of the shingles by which nodes of different classes must meet.
 
-    In every bucket the class with most nodes names two of them, and so do all others together; each node
-    meets the two of the other side. Pairs are at most two for a row, whatever the bucket.
+    All nodes order their shingles alike: those of one class first, then by how many nodes hold them. A set of
+    ``size`` that shares ``threshold`` with another has their first common shingle among its first
+    size - threshold * size + 1, and shingles of one class are never common to two: they take their places but
+    are not listed. ``sets`` are (node, class, shingles); only numbers per shingle are gathered.
     """
-    least = lambda node, *key: F.min(F.struct(F.xxhash64(*key, node).alias("draw"), F.col(node).alias("node")))
-    sides = dealt.groupBy("bucket", "class").agg(
-        F.count("*").alias("n"), least("node").alias("steady"), least("node", "bucket").alias("fresh")
+    sized = sets.withColumn("size", F.size("shingles"))
+    each = sized.select("node", "class", "size", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held"), F.min("class").alias("one"), F.max("class").alias("other"))
+    shared = each.join(held.filter("one < other").select("shingle", "held"), "shingle")
+    own = shared.groupBy("node", "class", "size").agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own"))
+    # the shared ones come last, so the first of them has this many before it; a little more against rounding
+    own = own.withColumn("before", F.col("size") - F.size("own"))
+    length = F.floor((1 - F.lit(threshold)) * F.col("size") + 1 + 1e-6) - F.col("before")
+    own = own.withColumn("own", F.slice("own", 1, F.greatest(length, F.lit(0)).cast("int")))
+    listed = own.select("node", "class", "size", "before", F.posexplode("own").alias("k", "of"))
+    return listed.select(F.col("of.shingle").alias("shingle"), "node", "class", "size", (F.col("before") + F.col("k")).alias("place"))
+
+
+def _pairs_between(prefixes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) of different classes that may have the similarity: all that do are among them.
+
+    Every node of a shingle meets all nodes outside the shingle's largest class, unless their sizes or what
+    follows the shingle in them rule the similarity out. A shingle of many nodes is dealt in blocks of ``block`` on
+    both sides, so none is one task's list.
+    """
+    sides = prefixes.groupBy("shingle", "class").agg(F.count("*").alias("n"))
+    groups = sides.groupBy("shingle").agg(
+        F.max_by("class", F.struct("n", "class")).alias("major"), F.sum("n").alias("nodes"), F.count("*").alias("classes")
     )
-    major = sides.groupBy("bucket").agg(F.max_by("class", F.struct("n", "class")).alias("major"), F.count("*").alias("classes"))
-    major = major.filter("classes > 1").select("bucket", "major")
-    named = sides.join(major, "bucket").withColumn("of_major", F.col("class") == F.col("major"))
-    pivots = named.groupBy("bucket", "major", "of_major").agg(F.min("steady.node").alias("steady"), F.min("fresh").alias("fresh"))
-    pivots = pivots.select("bucket", "major", "of_major", F.explode(F.array_distinct(F.array("steady", "fresh.node"))).alias("pivot"))
-    met = dealt.join(pivots, "bucket").filter((F.col("class") == F.col("major")) != F.col("of_major"))
-    return met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    groups = groups.filter("classes > 1").select("shingle", "major", F.ceil(F.col("nodes") / block).cast("int").alias("blocks"))
+    placed = prefixes.join(groups, "shingle")
+    left = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    right = placed.filter("class != major").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left, right = left.alias("l"), right.alias("r")
+    shared = F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("l.size") + F.col("r.size"))
+    # two nodes outside the largest class would meet twice
+    once = (F.col("l.class") == F.col("l.major")) | (F.col("l.node") < F.col("r.node"))
+    met = left.join(
+        right,
+        (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.class") != F.col("r.class"))
+        & once & (shared + 1e-6 >= needed),
+    )
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
 def near_duplicates(
@@ -231,16 +264,14 @@ def near_duplicates(
     links = stored(_verified(_pairs(crowded, small), sets, threshold))
     classes = stored(components(links))
 
-    # large buckets that hold more than one class are looked at again, two bands at a time
+    # the nodes of large buckets that hold more than one class meet all they may be similar to
     placed = crowded.filter(F.col("size") > small).join(classes, "node", "left")
     placed = stored(placed.select("bucket", "node", F.coalesce("class", "node").alias("class")))
     split = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other")).filter("one < other")
     if not split.isEmpty():
-        again = placed.join(split.select("bucket"), "bucket").join(nodes.select("node", "bands"), "node")
-        finer = again.select("node", "class", F.col("bucket").alias("first"), F.explode("bands").alias("second"))
-        both = F.xxhash64(F.least("first", "second"), F.greatest("first", "second"))
-        dealt = finer.filter("first != second").select(both.alias("bucket"), "node", "class").distinct()
-        links = links.unionByName(_verified(_pairs_between(stored(dealt)), sets, threshold))
+        again = placed.join(split.select("bucket"), "bucket").select("node", "class").distinct()
+        prefixes = stored(_prefixes(stored(sets.join(again, "node")), threshold))
+        links = links.unionByName(_verified(_pairs_between(prefixes, threshold), sets, threshold))
 
     # a copy is linked to the node of its words; a doc_id with several texts joins their classes
     copies = known.join(nodes.filter("copies > 1").select("same_a", "same_b", "node"), ["same_a", "same_b"])

@@ -70,6 +70,44 @@ def test_a_crowded_group_in_large_buckets(table, weights):
     assert got(table(rows), weights=weights) == brute(rows, weights == "count")
 
 
+def template_family(n, planted, seed=9, length=240):
+    """``n`` unlike texts on one template (about 0.7 alike), then ``planted`` pairs of one and its near copy (0.85)."""
+    generator = np.random.default_rng(seed)
+    fresh = iter(range(10**9))
+
+    def change(words, places):
+        words = list(words)
+        for place in places:
+            words[place] = f"x{next(fresh)}"
+        return words
+
+    base = [f"w{i}" for i in range(length)]
+    singles = [change(base, generator.choice(48, generator.integers(3, 7), replace=False) * 5) for _ in range(n)]
+    texts = singles + [change(singles[generator.integers(n)], [119 + 5 * k for k in range(4)]) for _ in range(planted)]
+    return [(i, " ".join(words)) for i, words in enumerate(texts)]
+
+
+def test_near_pairs_in_a_template_family(table):
+    rows = template_family(240, 60)
+    want = brute(rows)
+    assert sum(not kept for _, _, kept in want) >= 60 and sum(kept for _, _, kept in want) > 100
+    assert got(table(rows), small=2) == want
+
+
+def test_pairs_between_classes_are_all_that_may_be_alike(spark):
+    generator = np.random.default_rng(3)
+    common, rows = generator.integers(0, 40, 25), []
+    for node in range(120):
+        own = {int(v) for v in common[generator.random(25) < 0.9]} | {int(v) for v in generator.integers(0, 60, generator.integers(0, 6))}
+        rows.append((node, node % 90, sorted(own)))
+    sets = spark.createDataFrame(rows, "node long, class long, shingles array<long>")
+    pairs = minhash._pairs_between(minhash._prefixes(sets, 0.8), 0.8, block=7)
+    found = {(r["a"], r["b"]) for r in minhash._verified(pairs, sets.select("node", "shingles"), 0.8).collect()}
+    held = {node: set(own) for node, _, own in rows}
+    alike = {(a, b) for a in held for b in held if a < b and a % 90 != b % 90 and 10 * len(held[a] & held[b]) >= 8 * len(held[a] | held[b])}
+    assert found == alike and len(alike) > 50
+
+
 @pytest.mark.parametrize("share", [0.3, 0.8])
 def test_signatures_agree_as_often_as_weights_overlap(share):
     generator = np.random.default_rng(7)
