@@ -1,6 +1,7 @@
 """Masked pseudo-likelihood: every word of a text predicted from the words on both sides of it.
 
-Words are the vocabulary's entries, the most frequent words of the whole corpus, or "other". The network
+Words are classes of the network: each of the most frequent words of the whole corpus is its own, all others are
+one, whose probability is divided among its words by the corpus counts, a Spark table of every word. The network
 looks at two words before and two behind: an embedding for each place, their sum through tanh, and a softmax in
 two steps (a group of words, then the word within it), so a prediction costs tens of products, not thousands.
 It is trained in numpy with Adagrad: every partition takes one pass over all its texts from the same start, and
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.llm.storage import stored
 from cohortry.llm.words import hash_words, slices, split_words
 
 GROUPS = 32
@@ -127,8 +129,8 @@ def word_ids(hashed: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[place] == hashed, place + 1, 0)
 
 
-def frequent_words(docs: DataFrame, size: int) -> np.ndarray:
-    """Hashes, in ascending order, of the ``size`` most frequent words of all texts.
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n: how often each word occurs in all texts.
 
     Words are counted in every slice of a partition, then in Spark: a common word is one row per slice.
     """
@@ -138,7 +140,15 @@ def frequent_words(docs: DataFrame, size: int) -> np.ndarray:
             word, n = np.unique(hash_words(split_words(batch.column("text"))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes, in ascending order, of the ``size`` most frequent words of all texts."""
+    return _most(word_counts(docs), size)
+
+
+def _most(counts: DataFrame, size: int) -> np.ndarray:
     top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
     return np.sort(np.array([row["word"] for row in top], np.int64).view(np.uint64))
 
@@ -191,31 +201,67 @@ def train(docs: DataFrame, vocabulary: np.ndarray, start: Network | None = None,
     return net
 
 
-def score(docs: DataFrame, vocabulary: np.ndarray, net: Network) -> DataFrame:
+def _other_words(owner: np.ndarray, hashed: np.ndarray, texts: int) -> tuple[pa.Array, pa.Array]:
+    """Per text the distinct hashes and how often each occurs."""
+    order = np.lexsort((hashed, owner))
+    owner, hashed = owner[order], hashed[order]
+    fresh = np.flatnonzero(np.append(True, (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1]))[: len(hashed)])
+    times = np.diff(np.append(fresh, len(hashed)))
+    bounds = pa.array(np.searchsorted(owner[fresh], np.arange(texts + 1)), pa.int32())
+    return (
+        pa.ListArray.from_arrays(bounds, pa.array(hashed[fresh].view(np.int64))),
+        pa.ListArray.from_arrays(bounds, pa.array(times, pa.int32())),
+    )
+
+
+def score(docs: DataFrame, vocabulary: np.ndarray, net: Network, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, log_likelihood (sum) and mean_log_likelihood (null without words) of whole texts.
 
-    One row per row of ``docs``; a null text is empty, its sum is zero. Other columns are ignored.
+    With ``counts`` (word, n), a word outside the vocabulary has the probability of their class times its share of
+    the class's words; words that ``counts`` lacks share, evenly over all hashes, what one more occurrence of each
+    counted word would have. Without, they are one symbol. One row per row of ``docs``; a null text is empty, its
+    sum is zero. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast((net, vocabulary))
+    divided = counts is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = sent.value
         for batch in slices(batches, limit=2 << 20):
             split = split_words(batch.column("text"))
-            ids = word_ids(hash_words(split), words)
+            hashed, owner = hash_words(split), split.owner()
+            ids = word_ids(hashed, words)
             found = log_probabilities(held, ids, contexts(ids, split.first, held["embed"].shape[1] - 1))
-            total = np.bincount(split.owner(), found, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(split.per_text().astype(np.int64)), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"]
-            )
-
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, log_likelihood double"
-    )
+            total = np.bincount(owner, found, batch.num_rows)
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(split.per_text().astype(np.int64)), "log_likelihood": pa.array(total)}
+            if divided:
+                out["words"], out["times"] = _other_words(owner[ids == 0], hashed[ids == 0], batch.num_rows)
+            yield pa.RecordBatch.from_pydict(out)
+
+    schema = "doc_id long, n_tokens long, log_likelihood double" + ", words array<long>, times array<int>" * divided
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    if divided:
+        scored = _with_shares(scored, vocabulary, counts)
     return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))
 
 
+def _with_shares(scored: DataFrame, vocabulary: np.ndarray, counts: DataFrame) -> DataFrame:
+    """Adds the log of each other word's share of its class; only the class's two totals pass the driver."""
+    others = counts.filter(~F.col("word").isin(vocabulary.view(np.int64).tolist()))
+    total = others.agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).first()
+    n, distinct = total["n"] or 0, total["distinct"]
+    unseen = (np.log(distinct / (n + distinct)) if n else 0.0) - 64 * np.log(2)
+    share = F.coalesce(F.log(F.col("n") / F.lit(n + distinct)), F.lit(float(unseen)))
+    rows = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("of")).select("row", "of.words", "of.times")
+    met = each.withColumnRenamed("words", "word").join(others, "word", "left")
+    shares = met.groupBy("row").agg(F.sum(F.col("times") * share).alias("share"))
+    whole = F.col("log_likelihood") + F.coalesce("share", F.lit(0.0))
+    return rows.join(shares, "row", "left").select("doc_id", "n_tokens", whole.alias("log_likelihood"))
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Vocabulary and network from all of ``docs``, then the score of each; an empty table gives no rows."""
-    vocabulary = frequent_words(docs, GROUPS * PER_GROUP - 1)
-    return score(docs, vocabulary, train(docs, vocabulary))
+    """Counts, vocabulary and network from all of ``docs``, then the score of each; an empty table gives no rows."""
+    counts = stored(word_counts(docs))
+    vocabulary = _most(counts, GROUPS * PER_GROUP - 1)
+    return score(docs, vocabulary, train(docs, vocabulary), counts)

@@ -54,6 +54,29 @@ def test_vocabulary_counts_the_whole_corpus(documents):
     assert len(got) == 100 and all(words[hashed[h]] >= least for h in got)
 
 
+def test_every_word_has_its_own_probability(table):
+    common = " ".join(f"c{i}" for i in range(1023)) + " " + " ".join(f"c{i}" for i in range(1023))
+    rows = [(1, common), (2, common), (3, common), (4, "rare seldom rare"), (5, "odd1 odd2 odd3"), (6, "rare seldom rare"), (None, "c1 odd4"), (7, None)]
+    docs = table(rows)
+    got = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in pl.pseudo_likelihood(docs).collect())
+    vocabulary = pl.frequent_words(docs, 1023)
+    plain = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood) for r in pl.score(docs, vocabulary, pl.train(docs, vocabulary)).collect())
+    n = Counter({"rare": 4, "seldom": 2, "odd1": 1, "odd2": 1, "odd3": 1, "odd4": 1})
+    texts = {str(d): t or "" for d, t in rows}
+    # the classes' probabilities and the shares of ten words, six of them different
+    for (doc_id, n_tokens, whole), (_, _, classes) in zip(got, plain, strict=True):
+        words = texts[doc_id].split()
+        assert n_tokens == len(words)
+        share = sum(math.log(n[w] / 16) for w in words if w in n)
+        assert abs(whole - classes - share) < 1e-2
+    sums = {d: s for d, _, s in got}
+    assert sums["5"] < sums["4"] - 1
+    held_out = table([(1, "never"), (2, "rare")])
+    net, counts = pl.initial(), pl.word_counts(docs)
+    split = {r.doc_id: r.log_likelihood for r in pl.score(held_out, vocabulary, net, counts).collect()}
+    assert abs(split[2] - split[1] - (math.log(4 / 6) + 64 * math.log(2))) < 1e-6
+
+
 def test_gradients_are_those_of_the_loss():
     generator = np.random.default_rng(4)
     net = {k: v.astype(np.float64) for k, v in pl.initial(3, 4, 5).items()}
