@@ -55,8 +55,9 @@ def test_odd_texts_and_repeated_rows(table):
 LONG_AND_OTHER = "another text of the document that is there twice"
 
 
+@pytest.mark.parametrize("small", [4, minhash.SMALL])
 @pytest.mark.parametrize("weights", ["set", "count"])
-def test_a_crowded_group_in_large_buckets(table, weights):
+def test_a_crowded_group_in_large_buckets(table, weights, small):
     generator = np.random.default_rng(5)
     base, rows = [f"w{i}" for i in range(120)], []
     for doc_id in range(150):
@@ -67,7 +68,7 @@ def test_a_crowded_group_in_large_buckets(table, weights):
             words += words[:20]
         rows.append((doc_id, " ".join(words)))
     rows += [(200 + i, " ".join(f"v{i}.{j}" for j in range(60))) for i in range(5)]
-    assert got(table(rows), weights=weights) == brute(rows, weights == "count")
+    assert got(table(rows), weights=weights, small=small) == brute(rows, weights == "count")
 
 
 def template_family(n, planted, seed=9, length=240):
