@@ -25,6 +25,8 @@ from cohortry.llm.encoding import byte_letters
 from cohortry.llm.words import slices
 
 _END = "</w>"
+# any prefix of such a piece is one piece
+_RUN = regex.compile(r"\p{L}+|[^\s\p{L}\p{N}]+")
 
 
 class PrefixCounter:
@@ -141,10 +143,45 @@ class PrefixCounter:
             return int(counts[k])
         return before + self.word(text[begin:place])
 
+    def _inside(self, word: str) -> np.ndarray:
+        """Tokens of every prefix of a text without blanks, the empty one included.
+
+        Pieces that end before a cut are those of the whole word. A run of letters or signs is cut to one piece,
+        counted by its prefixes; words whose letters do not stand alone in normal form, and cuts in other
+        pieces, are counted anew.
+        """
+        out = np.zeros(len(word) + 1, np.int64)
+        normal = self.normalise(word)
+        if "<|" in word or "\u03a3" in word or [*normal] != [self.normalise(c) for c in word]:
+            out[1:] = [self.word(word[:end]) for end in range(1, len(word) + 1)]
+            return out
+        before = 0
+        done = 0
+        for match in self.pattern.finditer(normal):
+            begin, end = match.span()
+            out[done : begin + 1] = before
+            if _RUN.fullmatch(match.group()):
+                letters = "".join([self.letters[b] for b in match.group().encode()])
+                tables, cut = self.inner_prefixes(letters), 0
+                for place in range(begin + 1, end + 1):
+                    cut += len(normal[place - 1].encode())
+                    out[place] = before + self.closed(letters, cut, *tables)
+            else:
+                for place in range(begin + 1, end + 1):
+                    out[place] = before + self.word(word[begin:place])
+            before, done = int(out[end]), end
+        out[done:] = before
+        return out
+
     def longest_prefix(self, text: str, ends: np.ndarray, counts: np.ndarray, budget: int) -> int:
-        """The largest place at a word's end with at most ``budget`` tokens before it."""
+        """The largest place with at most ``budget`` tokens before it, be it inside a word."""
         k = int(np.searchsorted(counts, budget, "right"))
-        return int(ends[k - 1]) if k else 0
+        if k == len(ends):
+            return int(ends[-1])
+        # words add up, so what fits ends in the word that crosses the budget; inside it counts can fall again
+        begin, before = (int(ends[k - 1]) + 1, int(counts[k - 1])) if k else (0, 0)
+        fits = np.flatnonzero(before + self._inside(text[begin : int(ends[k])]) <= budget)
+        return begin + int(fits[-1]) if len(fits) else 0
 
 
 _counters: dict[str, PrefixCounter] = {}

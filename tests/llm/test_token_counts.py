@@ -53,3 +53,13 @@ def test_any_text(counter, text):
     for budget in (0, 3, 10):
         place = counter.longest_prefix(text, ends, counts, budget)
         assert tokens(text[:place]) <= budget
+
+
+def test_longest_prefix_goes_on_inside_a_word(counter):
+    texts = ["日本語のテスト文章です" * 4, "aGVsbG8gd29ybGQ+/Zm9v1Q==" * 3, "e\u0301e\u0301cole" * 4, "don't they're''ll", "a<|endoftext|>bcd<|endoftext", "two  wordstogether\n\nx"]
+    for text in texts + [t for _, t in ODD[7:10] + ODD[13:]]:
+        ends, counts = counter.table(text)
+        every = [tokens(text[:p]) for p in range(len(text) + 1)]
+        for budget in range(0, every[-1] + 2):
+            want = max(p for p, n in enumerate(every) if n <= budget)
+            assert counter.longest_prefix(text, ends, counts, budget) == want, (text, budget)
