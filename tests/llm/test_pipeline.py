@@ -39,3 +39,10 @@ def test_exact_copies_of_repeated_and_null_ids(spark, table):
     docs = table([(1, "a  b"), (1, "c"), (2, "a b"), (None, "c"), (None, "d"), (3, None), (4, "")])
     got = pipeline.drop_exact_copies(spark, docs, FOLDER).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, "a  b"), (1, "c"), (None, "d"), (3, None)], key=str)
+
+
+def test_near_copies_in_a_template_family_go(spark, table):
+    rows = test_minhash.template_family(400, 80)
+    kept = {r[0] for r in test_minhash.brute(rows) if r[2]}
+    got = pipeline.drop_near_copies(spark, table(rows), FOLDER).collect()
+    assert sorted(r.doc_id for r in got) == sorted(kept) and 100 < len(kept) <= 400
