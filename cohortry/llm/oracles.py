@@ -30,6 +30,15 @@ SQL = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)
     """,
+    "op11_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages), g AS (
+            SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS last FROM p
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+               CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN last <> page_id THEN last END AS refers_to
+        FROM g
+    """,
     "op13_hard_negatives": """
         WITH v AS (
             SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import chunk_codec, exact_dedup, hard_negatives, minhash, oracles, packing, pseudo_likelihood, quality_classifier, quality_rules, substring_dedup, token_counts, token_files
+from cohortry.llm import chunk_codec, exact_dedup, hard_negatives, minhash, oracles, packing, pseudo_likelihood, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,13 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    archives = warc.write_archives(pages)
+    records = warc.fetch(archives, warc.lookup(archives, pages), payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
     return hard_negatives.mine(spark.read.parquet(f"{folder}/embeddings.parquet"), label=label)
@@ -83,6 +90,7 @@ def queries() -> dict[str, Query]:
         "op8_bpe_round_trip": op8_bpe_round_trip,
         "op9_token_counts": op9_token_counts,
         "op10_token_id_output": op10_token_id_output,
+        "op11_warc": op11_warc,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
