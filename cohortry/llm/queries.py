@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm import chunk_codec, exact_dedup, hard_negatives, minhash, oracles, packing, pseudo_likelihood, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, warc
+from cohortry.llm import alignment, chunk_codec, exact_dedup, hard_negatives, minhash, oracles, packing, pseudo_likelihood, quality_classifier, quality_rules, substring_dedup, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +74,10 @@ def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.with_counts(_documents(spark, folder), BYTE_BPE, PIECE_BPE)
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
     return hard_negatives.mine(spark.read.parquet(f"{folder}/embeddings.parquet"), label=label)
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op9_token_counts": op9_token_counts,
         "op10_token_id_output": op10_token_id_output,
         "op11_warc": op11_warc,
+        "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
         "op13_hard_negatives": op13_hard_negatives,
     }
 

@@ -313,7 +313,7 @@ def lookup(archives: Archives, urls: DataFrame) -> DataFrame:
                 begin, end = bisect.bisect_left(line_keys, key.encode()), bisect.bisect_right(line_keys, key.encode())
                 yield from lines.slice(begin, end - begin).to_batches()
 
-    dealt = blocks.repartition("shard", "place").sortWithinPartitions("shard", "place", "urlkey")
+    dealt = blocks.repartition(shuffle_width(spark), "shard", "place").sortWithinPartitions("shard", "place", "urlkey")
     return dealt.mapInArrow(search, _LINES_DDL)
 
 
@@ -349,9 +349,9 @@ def fetch(archives: Archives, captures: DataFrame, payload: bool = True) -> Data
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in names} for r in found], arrow)
                 begin = end
 
-    # a range of a file to each group, however many records it holds
+    # a range of a file to each group, however many records it holds; places are small, what they name is not
     part = (F.col("offset") / (16 << 20)).cast("long")
-    places = captures.select("file", "offset", "length").repartition("file", part).sortWithinPartitions("file", "offset")
+    places = captures.select("file", "offset", "length").repartition(shuffle_width(captures.sparkSession), "file", part).sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, schema)
 
 
