@@ -18,6 +18,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortry.llm.encoding import byte_letters
+from cohortry.llm.encoding import WordEncoder, byte_letters
 from cohortry.llm.storage import shuffle_width, stored
 from cohortry.llm.words import slices
 
@@ -65,19 +66,16 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str, limit: int = 300_000) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as file:
             held = json.load(file)
         if held["pre_tokenizer"]["type"] != "ByteLevel" or held.get("normalizer"):
             raise ValueError("the first tokenizer has to be a byte-level BPE")
         letters = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.first = Tokenizer.from_file(a_path)
-        self.first.no_truncation()
-        self.first.no_padding()
-        self.first.encode_special_tokens = True
+        self.first = WordEncoder(a_path, limit)
+        self.first.tokenizer.encode_special_tokens = True
         special = {t["id"] for t in held["added_tokens"]}
-        self.a_bytes = [b""] * self.first.get_vocab_size()
+        self.a_bytes = [b""] * self.first.tokenizer.get_vocab_size()
         for token, k in held["model"]["vocab"].items():
             self.a_bytes[k] = token.encode() if k in special else bytes(map(letters.__getitem__, token))
         self.second = sentencepiece.SentencePieceProcessor(model_file=b_path)
@@ -88,6 +86,7 @@ class Aligner:
         self.blank = self.second.piece_to_id("▁")
         self.a_size, self.b_size = (np.array([len(x) for x in known], np.int64) for known in (self.a_bytes, self.b_bytes))
         self.shift = link_shift(len(pieces))
+        self.digits = list(map(str, range(max(len(self.a_bytes), len(pieces)))))
         self.limit = limit
         self.forget()
 
@@ -97,14 +96,34 @@ class Aligner:
         self.links, self.numbers, self.bounds = np.zeros(0, np.int64), np.zeros((0, 5), np.int64), np.zeros(1, np.int64)
 
     def tokens(self, segments: list[str]) -> Tokens:
-        a_ids = [e.ids for e in self.first.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)]
+        whole = [f" {s}" for s in segments]
+        # words of the byte-level encoder; only a segment with further white space holds several
+        cut = [[w] if s.isprintable() and " " not in s else self.first.split(w) for s, w in zip(segments, whole, strict=True)]
+        packed = self.first.words(list(chain.from_iterable(cut)))
+        self.first.known.clear()  # segments are kept here
+        per_word = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
+        n_words = np.fromiter(map(len, cut), np.int64, len(cut))
+        n_a = np.diff(np.append(0, np.cumsum(per_word))[np.append(0, np.cumsum(n_words))])
+        a = np.frombuffer(b"".join(packed), "<u4").astype(np.int64)
         b_ids = self.second.encode(segments, out_type=int, num_threads=1) if segments else []
         b_ids = [ids if s else [self.blank] for s, ids in zip(segments, b_ids, strict=True)]
-        a_of, b_of = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        sound = [b"".join(map(a_of, a)) == (whole := f" {s}".encode()) and b"".join(map(b_of, b)) == whole for s, a, b in zip(segments, a_ids, b_ids, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a_ids, b_ids))
-        a, b = (np.fromiter((k for each in ids for k in each), np.int64, int(n.sum())) for ids, n in ((a_ids, n_a), (b_ids, n_b)))
-        return Tokens(a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b]), n_a, n_b, np.array(sound, bool))
+        n_b = np.fromiter(map(len, b_ids), np.int64, len(b_ids))
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(n_b.sum()))
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        return Tokens(a, a_ends, b, b_ends, n_a, n_b, self._sound([s.encode() for s in whole], a, a_ends, n_a, b, b_ends, n_b))
+
+    def _sound(self, whole: list[bytes], a, a_ends, n_a, b, b_ends, n_b) -> np.ndarray:
+        """Whether each segment's tokens give its bytes, by both tokenizers. Most do, so all are compared at once first."""
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        sound = np.ones(len(whole), bool)
+        for ids, ends, n, known in ((a, a_ends, n_a, self.a_bytes), (b, b_ends, n_b, self.b_bytes)):
+            sound &= np.diff(np.append(0, ends)[np.append(0, np.cumsum(n))]) == sizes
+            kept = ids[np.repeat(sound, n)].tolist()
+            if b"".join(map(known.__getitem__, kept)) != b"".join(w for w, ok in zip(whole, sound.tolist(), strict=True) if ok):
+                last = np.cumsum(n)
+                each = zip(whole, (last - n).tolist(), last.tolist(), strict=True)
+                sound &= np.array([b"".join(known[k] for k in ids[i:j]) == w for w, i, j in each], bool)
+        return sound
 
     def groups(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, meet: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Texts, numbers of links, and links of the groups that end at ``meet``."""
@@ -114,7 +133,7 @@ class Aligner:
         times = in_b[of_a]
         step = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         links = (np.repeat(a, times) << self.shift) | b[np.repeat(first_b[of_a], times) + step]
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        a_text, b_text = (list(map(self.digits.__getitem__, ids.tolist())) for ids in (a, b))
         texts, i, j = [], 0, 0
         for m, n in zip(in_a.tolist(), in_b.tolist(), strict=True):
             texts.append(f"{a_text[i]}|{b_text[j]}" if m == n == 1 else f"{','.join(a_text[i : i + m])}|{','.join(b_text[j : j + n])}")
