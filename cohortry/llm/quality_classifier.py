@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.storage import stored
-from cohortry.llm.words import Words, hash_words, mix, slices, split_words
+from cohortry.llm.words import Words, carried, hash_words, mix, slices, split_words, with_text
 
 DIMENSIONS = 1 << 17
 # labelled rows that are learnt from, those with the least hash of their doc_id
 MAX_ROWS = 16_000
 SHARDS = 8
 PASSES = 6
+# text scored at a time; its features take about fifty times as much memory
+SCORE_BYTES = 1 << 20
 ALPHA, BETA, L1, L2 = 2.0, 1e-3, 1e-4, 1e-4
 
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -142,7 +144,7 @@ def score(docs: DataFrame, weights: np.ndarray, carry: Sequence[str] = ()) -> Da
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(with_text(batches), limit=SCORE_BYTES):
             words = split_words(batch.column("text"))
             row, index = features(words)
             margin = np.bincount(row, held.value[index], batch.num_rows) / np.maximum(words.per_text(), 1) + held.value[0]
@@ -150,11 +152,10 @@ def score(docs: DataFrame, weights: np.ndarray, carry: Sequence[str] = ()) -> Da
             out = [batch.column("doc_id"), pa.array(_probability(margin)), *kept]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "score", "row"][: len(out)])
 
-    rows = [F.struct(*carry).alias("row")] if carry else []
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carried(carry))
     out = T.StructType().add("doc_id", "long").add("score", "double")
-    for column in texts.schema[2:]:
-        out = out.add(column)
+    if carry:
+        out = out.add(texts.schema["row"])
     return texts.mapInArrow(run, out)
 
 

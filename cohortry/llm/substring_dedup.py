@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.llm.storage import stored
-from cohortry.llm.words import hash_sequences, hash_windows, hash_words, mix, slices, split_words, window_starts
+from cohortry.llm.words import carried, hash_sequences, hash_windows, hash_words, mix, slices, split_words, window_starts, with_text
 
 WINDOW = 50
 ANCHOR = 10
@@ -108,7 +108,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, anchor: int) ->
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Texts without the words that the listed windows cover."""
-    for batch in slices(batches):
+    for batch in slices(with_text(batches), limit=1 << 20):
         totals, removed, kept = [], [], []
         columns = (batch.column(c).to_pylist() for c in ("text", "version", "copies", "versions", "places", "runs"))
         for text, version, copies, versions, places, runs in zip(*columns, strict=True):
@@ -143,12 +143,10 @@ def remove_repeats(
     Rows of one doc_id are one document: they take nothing from each other. A null doc_id is neither
     smaller nor larger than another, so such rows stay whole. Other columns than ``carry`` are ignored.
     """
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("version"),  # tells rows of one doc_id apart
-        "text",
-        *([F.struct(*carry).alias("row")] if carry else []),
-    )
+    version = F.xxhash64("text").alias("version")  # tells rows of one doc_id apart
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), version]
+    base = docs.select(*keys, "text")
+    whole = docs.select(*keys, *carried(carry)) if carry else base
     key = "doc_id long, version long"
     held = base.filter("doc_id IS NOT NULL").select("doc_id", "version", "text")
     read = stored(
@@ -171,8 +169,8 @@ def remove_repeats(
     wanted = likely.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     # one exchange of the texts serves this join and the last one
-    windows = base.join(wanted, "doc_id").mapInArrow(
-        lambda it: _window_rows(it, window, anchor), f"{key}, place int, run int, high long, low int"
+    windows = whole.join(wanted, "doc_id").mapInArrow(
+        lambda it: _window_rows(with_text(it), window, anchor), f"{key}, place int, run int, high long, low int"
     )
     first = windows.groupBy("high", "low").agg(F.min("doc_id").alias("first"))
     later = windows.join(first, ["high", "low"]).filter("doc_id > first")
@@ -181,6 +179,6 @@ def remove_repeats(
     repeats = later.groupBy("doc_id").agg(*[F.collect_list(c).alias(name) for c, name in lists.items()])
     changes = repeats.join(copies, "doc_id", "full")
     out = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
-    for column in base.schema[3:]:
-        out = out.add(column)
-    return base.join(changes, "doc_id", "left").mapInArrow(lambda it: _cut(it, window), out)
+    if carry:
+        out = out.add(whole.schema["row"])
+    return whole.join(changes, "doc_id", "left").mapInArrow(lambda it: _cut(it, window), out)

@@ -5,11 +5,13 @@ A word is a longest run of bytes outside ``[\\x20\\x09-\\x0D]``; null texts have
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -40,6 +42,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
+def carried(carry: Sequence[str]) -> list[Column]:
+    """The text, and the columns to carry as ``row``; a text that is carried is sent inside ``row`` alone."""
+    rows = [F.struct(*carry).alias("row")] if carry else []
+    return rows if "text" in carry else [F.col("text"), *rows]
+
+
+def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their ``text`` as a column, be it a field of ``row``."""
+    for batch in batches:
+        yield batch if "text" in batch.schema.names else batch.append_column("text", batch.column("row").field("text"))
+
+
 def text_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts one after another, and where each begins (one more than texts)."""
     column = column.fill_null("").cast(pa.large_string())
