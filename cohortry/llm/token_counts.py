@@ -13,6 +13,7 @@ any place inside a word follows from that word's own prefixes.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +24,18 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.encoding import byte_letters
 from cohortry.llm.words import slices
+from cohortry.llm.worker_memory import kept
 
 _END = "</w>"
 # any prefix of such a piece is one piece
 _RUN = regex.compile(r"\p{L}+|[^\s\p{L}\p{N}]+")
 
 
+def _suffixes(tokens: list[str]) -> dict[str, bool]:
+    found = {token[k:]: False for token in tokens for k in range(1, len(token))}
+    return found | dict.fromkeys(tokens, True)
+
+
 class PrefixCounter:
     """Counts for one file of the ``tokenizers`` library with a word-end suffix."""
 
@@ -42,10 +49,13 @@ class PrefixCounter:
             raise ValueError("a word BPE is needed")
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {pair: k for k, pair in enumerate(pairs)}
-        # tokens by how many bytes they cover; a token that ends a word carries the suffix
-        self.inner = {t for t in model["vocab"] if not t.endswith(_END)}
-        self.final = {t[: -len(_END)] for t in model["vocab"] if t.endswith(_END)}
-        self.longest = max(map(len, self.inner | self.final))
+        # what each token is merged from; a vocabulary where that is not one pair, made of earlier tokens, is not known here
+        self.halves = {x + y: (x, y) for x, y in pairs}
+        if len(self.halves) < len(pairs) or any(self.rank[self.halves[half]] > k for k, pair in enumerate(pairs) for half in pair if half in self.halves):
+            raise ValueError("merges have to make each token once, from earlier ones")
+        # suffixes of all tokens: true for those that are tokens themselves; those that end a word carry a sign
+        self.inner = _suffixes([t for t in model["vocab"] if not t.endswith(_END)])
+        self.final = _suffixes([t[: -len(_END)] for t in model["vocab"] if t.endswith(_END)])
         self.letters = byte_letters()
         tokenizer = Tokenizer.from_file(path)
         self.normalise = tokenizer.normalizer.normalize_str
@@ -55,55 +65,93 @@ class PrefixCounter:
         self.words: dict[str, int] = {"": 0}
         self.pieces: dict[str, int] = {}
         self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
-    def _merge(self, symbols: list[str]) -> list[str]:
-        """The merges applied lowest rank first, leftmost first."""
-        rank = self.rank
-        while len(symbols) > 1:
-            ranks = [rank.get(pair, 1 << 30) for pair in zip(symbols, symbols[1:])]
-            least = min(ranks)
-            if least == 1 << 30:
-                break
-            at = ranks.index(least)
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+    def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The symbols at one side of a token while its letters merge, and the rank of the merge that ends each."""
+        key = (token, side)
+        known = self.edges.get(key)
+        if known is None:
+            known, until = [], math.inf
+            while True:
+                known.append((token, until))
+                if token not in self.halves:
+                    break
+                halves = self.halves[token]
+                token, until = halves[side], self.rank[halves]
+            known.reverse()
+            if len(self.edges) >= self.limit:
+                self.edges.clear()
+            self.edges[key] = known
+        return known
 
     def _stands(self, left: str, right: str, ends: bool) -> bool:
-        """Whether the merges leave ``left`` (empty: nothing) and ``right`` as they are."""
+        """Whether the merges leave ``left`` (empty: nothing) and ``right`` as they are.
+
+        Until a merge joins the two, each merges as if alone, lowest rank first. So only symbols that touch at some
+        time can join: they are met by walking along both edges in the order of ranks. At equal rank the left side goes
+        first, then the pair across, then the right side.
+        """
         known = self.pairs.get((left, right, ends))
         if known is None:
-            symbols = [*left, *right]
-            if ends:
-                symbols[-1] += _END
-            known = len(self._merge(symbols)) == 1 + bool(left) and symbols[0] == (left or right + _END * ends)
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
-            self.pairs[left, right, ends] = known
+            token = right + _END if ends else right
+            known = self.pairs[left, right, ends] = self._stands("", right, ends) and self._joined(left, token) is None if left else self._reached(token)
         return known
 
+    def _joined(self, left: str, right: str) -> int | None:
+        """Rank of the first merge across two neighbouring tokens, if there is one."""
+        rank, x_edge, y_edge = self.rank, self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = x_edge[i], y_edge[j]
+            joined = rank.get((x, y))
+            if joined is not None and joined < x_until and joined <= y_until:
+                return joined
+            if x_until > y_until:
+                j += 1
+            elif x_until < math.inf:
+                i += 1
+            else:
+                return None
+
+    def _reached(self, token: str) -> bool:
+        """Whether a token's letters merge to it: its halves are reached, and nothing joins across before they do."""
+        halves = self.halves.get(token)
+        return halves is None or all(map(self._reached, halves)) and self._joined(*halves) == self.rank[halves]
+
     def inner_prefixes(self, piece: str) -> tuple[list[str], list[int]]:
         """Last token and token count of every prefix of a piece, as far as the word goes on after it."""
-        inner, pairs, longest = self.inner, self.pairs, self.longest
+        inner, pairs = self.inner, self.pairs
         last, count = [""], [0]
         for end in range(1, len(piece) + 1):
-            for begin in range(max(0, end - longest), end):
+            begin = end
+            while begin:  # one token only stands behind the prefix before it, so the shortest are tried first
+                begin -= 1
                 token = piece[begin:end]
-                if token in inner:
+                is_token = inner.get(token)
+                if is_token:
                     before = last[begin]
                     stands = pairs.get((before, token, False))
                     if stands or stands is None and self._stands(before, token, False):
                         break
-            else:
-                raise ValueError("letters outside the vocabulary")
+                elif is_token is None:
+                    raise ValueError("letters outside the vocabulary")
             last.append(token)
             count.append(count[begin] + 1)
         return last, count
 
     def closed(self, piece: str, end: int, last: list[str], count: list[int]) -> int:
         """Tokens of ``piece[:end]`` as a word of its own: its last token carries the suffix."""
-        for begin in range(max(0, end - self.longest), end):
-            if piece[begin:end] in self.final and self._stands(last[begin], piece[begin:end], True):
+        begin = end
+        while begin:
+            begin -= 1
+            is_token = self.final.get(piece[begin:end])
+            if is_token and self._stands(last[begin], piece[begin:end], True):
                 return count[begin] + 1
+            if is_token is None:
+                break
         raise ValueError("letters outside the vocabulary")
 
     def _piece(self, piece: str) -> int:
@@ -115,6 +163,10 @@ class PrefixCounter:
             known = self.pieces[piece] = self.closed(letters, len(letters), *self.inner_prefixes(letters[:-1]))
         return known
 
+    def _normal(self, part: str) -> str:
+        """Of plain letters and signs the normal form is lower case."""
+        return part.lower() if part.isascii() and part.isprintable() else self.normalise(part)
+
     def word(self, word: str) -> int:
         """Tokens of a text without blanks and line breaks at which words are cut."""
         known = self.words.get(word)
@@ -123,7 +175,7 @@ class PrefixCounter:
                 self.words.clear()
                 self.words[""] = 0
             parts = self.special.split(word) if "<|" in word else [word]
-            known = len(parts) - 1 + sum(self._piece(p) for part in parts for p in self.pattern.findall(self.normalise(part)))
+            known = len(parts) - 1 + sum(self._piece(p) for part in parts for p in self.pattern.findall(self._normal(part)))
             self.words[word] = known
         return known
 
@@ -184,14 +236,9 @@ class PrefixCounter:
         return begin + int(fits[-1]) if len(fits) else 0
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One counter per Python worker and file; its words serve all later tasks."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return kept(("counter", path), lambda: PrefixCounter(path))
 
 
 def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -63,3 +64,36 @@ def test_longest_prefix_goes_on_inside_a_word(counter):
         for budget in range(0, every[-1] + 2):
             want = max(p for p, n in enumerate(every) if n <= budget)
             assert counter.longest_prefix(text, ends, counts, budget) == want, (text, budget)
+
+
+def merged(rank, symbols):
+    """The merges as they are defined: lowest rank first, leftmost first."""
+    while len(symbols) > 1:
+        ranks = [rank.get(pair, 1 << 30) for pair in zip(symbols, symbols[1:])]  # noqa: B905
+        at = ranks.index(min(ranks))
+        if ranks[at] == 1 << 30:
+            break
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+def test_neighbouring_tokens_are_judged_as_the_merges_do(counter):
+    rng = random.Random(7)
+    inner, final = ([t for t, own in tokens.items() if own] for tokens in (counter.inner, counter.final))
+    pairs = [(rng.choice(inner), rng.choice(inner), False) for _ in range(3000)] + [(rng.choice(inner), rng.choice(final), True) for _ in range(3000)]
+    pairs += [("a" * i, "a" * j, end) for i in range(5) for j in range(1, 5) for end in (True, False) if (not i or "a" * i in counter.inner)]
+    # halves of tokens, which the merges do join
+    pairs += [(t[:k], t[k:], False) for t in rng.sample(inner, 2000) for k in range(1, len(t)) if t[:k] in inner]
+    joined = 0
+    for left, right, ends in pairs:
+        token = right + "</w>" * ends
+        if right not in (counter.final if ends else counter.inner):
+            continue
+        symbols = [*left, *right]
+        symbols[-1] += "</w>" * ends
+        if left and merged(counter.rank, [*left]) != [left]:
+            continue
+        want = merged(counter.rank, symbols) == ([left, token] if left else [token])
+        assert counter._stands(left, right, ends) == want, (left, right, ends)
+        joined += not want
+    assert joined > 500
