@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from cohortry.llm.encoding import WordEncoder, byte_letters
 from cohortry.llm.storage import shuffle_width, stored
 from cohortry.llm.words import slices
+from cohortry.llm.worker_memory import kept
 
 # texts of more bytes than this are aligned in chunks
 CHUNK_BYTES = 1 << 16
@@ -178,14 +179,9 @@ def link_shift(b_size: int) -> int:
     return b_size.bit_length()
 
 
-_aligners: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One aligner per Python worker and pair of files; its segments serve all later tasks."""
-    if (a_path, b_path) not in _aligners:
-        _aligners[a_path, b_path] = Aligner(a_path, b_path)
-    return _aligners[a_path, b_path]
+    return kept(("aligner", a_path, b_path), lambda: Aligner(a_path, b_path))
 
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]

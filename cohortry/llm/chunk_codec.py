@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.encoding import WordEncoder
 from cohortry.llm.words import mix, slices, text_offsets
+from cohortry.llm.worker_memory import kept
 
 # the rolling hash covers 16 bytes; one place in 64 is a cut
 _MASK = np.uint32((1 << 6) - 1)
@@ -107,14 +108,9 @@ class ChunkCodec:
         return " ".join([t for t in self.token[ids[ids < len(self.token)]].tolist() if t is not None])
 
 
-_codecs: dict[str, ChunkCodec] = {}
-
-
 def codec(path: str) -> ChunkCodec:
     """One codec per Python worker and file; its chunks serve all later documents and tasks."""
-    if path not in _codecs:
-        _codecs[path] = ChunkCodec(path)
-    return _codecs[path]
+    return kept(("codec", path), lambda: ChunkCodec(path))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[tuple[pa.Array, list[np.ndarray], ChunkCodec]]:

@@ -22,6 +22,8 @@ import struct
 import numpy as np
 import regex
 
+from cohortry.llm.worker_memory import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # white space as the library's pattern has it: without the separators U+001C to U+001F
@@ -115,11 +117,6 @@ class WordEncoder:
         return np.frombuffer(self.encode(text), "<u4")
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and file; its words serve all later tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return kept(("encoder", path), lambda: WordEncoder(path))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from cohortry.llm.storage import stored
 from cohortry.llm.words import Words, carried, hash_words, mix, slices, split_words, with_text
+from cohortry.llm.worker_memory import let_go
 
 DIMENSIONS = 1 << 17
 # labelled rows that are learnt from, those with the least hash of their doc_id
@@ -83,6 +84,7 @@ def learn(index: np.ndarray, value: np.ndarray, label: float, z: np.ndarray, n:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in slices(batches, limit=1 << 20):
         words = split_words(batch.column("text"))
         row, index = features(words)
@@ -144,6 +146,7 @@ def score(docs: DataFrame, weights: np.ndarray, carry: Sequence[str] = ()) -> Da
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in slices(with_text(batches), limit=SCORE_BYTES):
             words = split_words(batch.column("text"))
             row, index = features(words)
