@@ -54,18 +54,19 @@ class PrefixCounter:
         if len(self.halves) < len(pairs) or any(self.rank[self.halves[half]] > k for k, pair in enumerate(pairs) for half in pair if half in self.halves):
             raise ValueError("merges have to make each token once, from earlier ones")
         # suffixes of all tokens: true for those that are tokens themselves; those that end a word carry a sign
-        self.inner = _suffixes([t for t in model["vocab"] if not t.endswith(_END)])
-        self.final = _suffixes([t[: -len(_END)] for t in model["vocab"] if t.endswith(_END)])
+        self.limit = limit
+        self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
+        reached = [t for t in model["vocab"] if self._reached(t)]  # others never come about
+        self.inner = _suffixes([t for t in reached if not t.endswith(_END)])
+        self.final = _suffixes([t[: -len(_END)] for t in reached if t.endswith(_END)])
         self.letters = byte_letters()
         tokenizer = Tokenizer.from_file(path)
         self.normalise = tokenizer.normalizer.normalize_str
         self.pattern = regex.compile(held["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in held["added_tokens"]))
-        self.limit = limit
         self.words: dict[str, int] = {"": 0}
         self.pieces: dict[str, int] = {}
         self.pairs: dict[tuple[str, str, bool], bool] = {}
-        self.edges: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
     def _edge(self, token: str, side: int) -> list[tuple[str, float]]:
         """The symbols at one side of a token while its letters merge, and the rank of the merge that ends each."""
@@ -97,7 +98,7 @@ class PrefixCounter:
             if len(self.pairs) >= self.limit:
                 self.pairs.clear()
             token = right + _END if ends else right
-            known = self.pairs[left, right, ends] = self._stands("", right, ends) and self._joined(left, token) is None if left else self._reached(token)
+            known = self.pairs[left, right, ends] = not left or self._joined(left, token) is None
         return known
 
     def _joined(self, left: str, right: str) -> int | None:
