@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import oracles  # noqa: E402
 from cohortry.operators import digest, guards, model, reads, requests  # noqa: E402
 from cohortry.operators.quality import check_tables  # noqa: E402
+from cohortry.operators.windows import window_admission  # noqa: E402
 from cohortry.plans import digest_run  # noqa: E402
 from cohortry.plans.catalog import Catalog  # noqa: E402
 from cohortry.plans.contracts import CONTRACTS  # noqa: E402
@@ -363,6 +364,14 @@ def request_admission_counts(spark: SparkSession, folder: str) -> DataFrame:
     return requests.admission_counts(spark.read.parquet(f"{folder}/events.parquet"), **ADMISSION)
 
 
+def request_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of a day that each begin with a request, over the whole event log."""
+    _ship(spark)
+    events = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts")
+    limits = {k: ADMISSION[k] for k in ("ts", "client", "per_client", "global_cap")}
+    return window_admission(events, request="event_id", window="1 day", **limits)
+
+
 def stream_admission(spark: SparkSession, folder: str) -> DataFrame:
     """The event log as a stream, every bucket of it."""
     tables = _run_folder(spark, "admission")
@@ -490,6 +499,7 @@ def queries() -> dict[str, Query]:
         "text_repeats_documents": text_repeats_documents,
         "request_admission": request_admission,
         "request_admission_counts": request_admission_counts,
+        "request_windows": request_windows,
         "stream_admission": stream_admission,
         "stream_incremental": stream_incremental,
         "stream_incremental_cohorts": stream_incremental_cohorts,

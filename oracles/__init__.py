@@ -544,6 +544,20 @@ def oracle_sql() -> dict[str, str]:
         "request_admission_counts": f"""{ADMISSION} SELECT b.bucket, b.requests, p.n AS within_client_cap,
             least(p.n, 300) AS admitted FROM (SELECT bucket, count(*) AS requests FROM slots GROUP BY 1) b
             JOIN (SELECT bucket, count(*) AS n FROM passed GROUP BY 1) p USING (bucket)""",
+        # one start after another, as a limiter would see them
+        "request_windows": """WITH RECURSIVE starts AS (
+                SELECT min(ts) AS window_start FROM events
+                UNION ALL
+                SELECT min(e.ts) FROM starts s JOIN events e ON e.ts >= s.window_start + INTERVAL 1 DAY HAVING min(e.ts) IS NOT NULL
+            ), slots AS (
+                SELECT e.event_id, e.user_id, e.ts, s.window_start FROM events e ASOF LEFT JOIN starts s ON e.ts >= s.window_start
+            ), first AS (
+                SELECT *, row_number() OVER (PARTITION BY window_start, user_id ORDER BY ts, event_id) AS r1 FROM slots WHERE window_start IS NOT NULL
+            ), passed AS (
+                SELECT event_id, row_number() OVER (PARTITION BY window_start ORDER BY ts, event_id) AS r2 FROM first WHERE r1 <= 5
+            )
+            SELECT s.event_id, s.user_id, s.ts, s.window_start, coalesce(p.r2 <= 300, FALSE) AS admitted
+            FROM slots s LEFT JOIN passed p USING (event_id)""",
     }
     texts["stream_incremental"] = texts["adoption_curves"]
     texts["table_if_absent"] = texts["dim_customer"]
