@@ -28,6 +28,7 @@ from cohortry.sources.orders_panel import ORDERS_SPEC, raw_panel  # noqa: E402
 from cohortry.sources.tables import TableSet, remove_folder, shared_folder  # noqa: E402
 from cohortry.spec import Window  # noqa: E402
 from cohortry.streaming.admission import read_admission_counts, run_admission_counts  # noqa: E402
+from cohortry.streaming.decisions import read_decisions, run_decisions  # noqa: E402
 from cohortry.streaming.incremental import IncrementalLoad  # noqa: E402
 
 try:  # the training-data operators may be absent
@@ -381,6 +382,20 @@ def stream_admission(spark: SparkSession, folder: str) -> DataFrame:
     return read_admission_counts(tables, "counts", ADMISSION["per_client"], ADMISSION["global_cap"])
 
 
+def stream_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The event log as a stream: the decisions of all buckets that its watermark has closed."""
+    _ship(spark)
+    tables = _run_folder(spark, "decisions")
+    schema = spark.read.parquet(f"{folder}/events.parquet").select("event_id", "user_id", "ts").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
+    run_decisions(events, tables, "decisions", request="event_id", lateness="1 hour", **ADMISSION)
+    decided = read_decisions(spark, tables, "decisions", closed_only=True)
+    return decided.select(
+        F.col("request").alias("event_id"), F.col("client").cast("long").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"),
+        F.col("bucket").cast("timestamp_ntz").alias("bucket"), "admitted",
+    )
+
+
 def _loaded(spark: SparkSession, folder: str) -> IncrementalLoad:
     """The panel delivered as one file per month, loaded in several batches; its end moves with each."""
     key = (spark.sparkContext.applicationId, folder)
@@ -501,6 +516,7 @@ def queries() -> dict[str, Query]:
         "request_admission_counts": request_admission_counts,
         "request_windows": request_windows,
         "stream_admission": stream_admission,
+        "stream_decisions": stream_decisions,
         "stream_incremental": stream_incremental,
         "stream_incremental_cohorts": stream_incremental_cohorts,
         "stream_incremental_customers": stream_incremental_customers,

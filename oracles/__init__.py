@@ -578,5 +578,7 @@ def oracle_sql() -> dict[str, str]:
     texts["stream_incremental_cohorts"] = texts["cohort_adoption"]
     texts["stream_incremental_customers"] = texts["fct_customer"]
     texts["stream_admission"] = texts["request_admission_counts"]
+    texts["stream_decisions"] = f"""SELECT * FROM ({texts["request_admission"]})
+        WHERE bucket + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
     texts["warehouse_build"] = texts["fct_customer_month"]
     return texts
