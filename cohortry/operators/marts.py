@@ -39,8 +39,13 @@ def adoption_curves(fct_customer: DataFrame, spec: PanelSpec, keys: Sequence[str
     Curves with and without segment start from the same counts, which Spark computes once when
     both are used.
     """
+    return curves_of_counts(adoption_counts(fct_customer, spec), spec, keys)
+
+
+def curves_of_counts(counts: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """The curves from counted customers, see ``adoption_counts``."""
     cell = ["acq_month", *keys]
-    cells = adoption_counts(fct_customer, spec).groupBy(*cell).agg(
+    cells = counts.groupBy(*cell).agg(
         F.sum("n").alias("n_observed"),
         F.collect_list(F.when(F.col("adopted_at").isNotNull(), F.struct("adopted_at", "n"))).alias("adopted"),
     )
@@ -79,7 +84,10 @@ def cohort_adoption(fct_customer: DataFrame, spec: PanelSpec) -> DataFrame:
         F.count_if("retained_3m").alias("n_retained_3m"),
         F.count_if("has_panel_gaps").alias("n_with_gaps"),
     )
+    return _cohort_rates(totals, spec)
 
+
+def _cohort_rates(totals: DataFrame, spec: PanelSpec) -> DataFrame:
     def observed(months: int):
         return F.add_months("acq_month", months) <= F.lit(spec.panel_end)
 
@@ -100,3 +108,51 @@ def cohort_adoption(fct_customer: DataFrame, spec: PanelSpec) -> DataFrame:
         F.try_divide("n_retained_3m", "n_adopted").alias("retention_rate_3m"),
         F.try_divide("n_with_gaps", "cohort_size").alias("share_with_panel_gaps"),
     )
+
+
+CELL = ("acq_month", "segmento", "months_to_adoption")
+CELL_COUNTS = ("n", "n_retained_1m", "n_retained_2m", "n_retained_3m", "n_with_gaps")
+
+
+def cell_counts(resolved: DataFrame, *keys: str) -> DataFrame:
+    """Customers of every cohort by segment and age at adoption (NULL: not adopted), with what the marts sum of them.
+
+    Nothing in a cell depends on the panel's end, so cells of disjoint customers add up and stay right when months
+    arrive: the panel window and censoring are decided by cohort, in the marts. ``keys`` are kept apart.
+    """
+    return resolved.groupBy(*keys, "acq_month", F.coalesce("segmento", F.lit(SEGMENT_UNKNOWN)).alias("segmento"), "months_to_adoption").agg(
+        F.count("*").alias("n"),
+        *[F.count_if(f"retained_{k}m").alias(f"n_retained_{k}m") for k in (1, 2, 3)],
+        F.count_if("has_panel_gaps").alias("n_with_gaps"),
+        F.max("last_obs_month").alias("last_obs_month"),
+    )
+
+
+def _cells_within(cells: DataFrame, spec: PanelSpec) -> DataFrame:
+    within = cells.filter(F.col("acq_month").between(F.lit(spec.panel_start), F.lit(spec.panel_end)))
+    return within.groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in CELL_COUNTS])
+
+
+def curves_of_cells(cells: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """``adoption_curves`` from cells."""
+    months = F.col("months_to_adoption")
+    adopted_at = F.when(months <= spec.max_age, F.greatest(months, F.lit(0).cast("bigint")))
+    counts = _cells_within(cells, spec).groupBy("acq_month", "segmento", adopted_at.alias("adopted_at")).agg(F.sum("n").alias("n"))
+    return curves_of_counts(counts, spec, keys)
+
+
+def cohorts_of_cells(cells: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``cohort_adoption`` from cells."""
+    months = F.col("months_to_adoption")
+    adopted = F.sum(F.when(months.isNotNull(), F.col("n")))
+    late = F.col("acq_month") > F.add_months(F.lit(spec.panel_end), -spec.observe_months)
+    totals = _cells_within(cells, spec).groupBy("acq_month", "segmento").agg(
+        F.sum("n").alias("cohort_size"),
+        F.coalesce(adopted, F.lit(0)).alias("n_adopted"),
+        F.sum(F.when(late, F.col("n")).otherwise(0)).alias("n_right_censored"),
+        F.try_divide(F.sum(months * F.col("n")), adopted).alias("avg_months_to_adoption"),
+        F.min(months).alias("min_months_to_adoption"),
+        F.max(months).alias("max_months_to_adoption"),
+        *[F.sum(c).alias(c) for c in CELL_COUNTS[1:]],
+    )
+    return _cohort_rates(totals, spec)

@@ -59,13 +59,14 @@ def resolve_adoption(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     return resolve_profiles(entity_profile(panel), spec)
 
 
-def resolve_profiles(profiles: DataFrame, spec: PanelSpec) -> DataFrame:
-    """The same from profiles. A projection: whatever depends on the panel's end is decided here."""
+def resolve_profiles(profiles: DataFrame, spec: PanelSpec, *keys: str) -> DataFrame:
+    """The same from profiles. A projection: whatever depends on the panel's end is decided here. ``keys`` are kept."""
     first, acquired = F.col("first_card_month"), F.col("acq_month")
     start, end = F.lit(spec.panel_start), F.lit(spec.panel_end)
     adopted = F.coalesce(first > F.col("first_obs_month"), F.lit(False))
     span = month_gap(F.col("last_obs_month"), F.col("first_obs_month")) + 1
     return profiles.select(
+        *keys,
         "customer_id",
         "acq_month",
         "first_obs_month",

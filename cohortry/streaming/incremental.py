@@ -14,7 +14,8 @@ from cohortry.sources.delimited import read_all_string
 from cohortry.sources.tables import TableSet, read_or_none, replace_partitions, write_table
 from cohortry.spec import PanelSpec
 
-PANEL, PROFILES, INCREMENT, LAYOUT = "stg_customer_month", "customer_profile", "increment", "layout"
+PANEL, PROFILES, CELLS = "stg_customer_month", "customer_profile", "customer_cells"
+INCREMENT, LAYOUT = "increment", "layout"
 PANEL_KEY = ("customer_id", "snapshot_month")
 BUCKET = "customer_bucket"
 DEFAULT_BUCKETS = 64
@@ -39,7 +40,10 @@ class IncrementalLoad:
     is merged into the profiles of its customers without a look at their history; only customers whose stored
     months are corrected are profiled anew, from the panel partitions of their buckets. What depends on the
     panel's end, which moves with every month, is a projection of the profiles and never stored by customer.
-    A load that is repeated after a failure ends in the same state: it meets its own rows as corrections.
+    Marts are sums of cells, counts of customers that do not depend on the panel's end. Cells are kept by bucket and
+    counted anew in the buckets a batch touches, which the merge of profiles has to rewrite anyway: profiles of other
+    buckets are not read. Counts are replaced, not added to, so a load that is repeated after a failure ends in the
+    same state; it meets its own rows as corrections.
     """
 
     def __init__(self, tables: TableSet, spec: PanelSpec, buckets: int | None = None) -> None:
@@ -78,6 +82,7 @@ class IncrementalLoad:
             merged = increment if existing is None else merge_panel(existing, increment)
             replace_partitions(merged, tables.path(PANEL), "snapshot_month", BUCKET)
             self._refresh_profiles(increment, corrected)
+            self._refresh_cells(increment)
             self._refresh_marts()
             tables.remove("corrected")
         tables.remove(INCREMENT)
@@ -104,9 +109,18 @@ class IncrementalLoad:
         bucket = F.pmod(F.hash("customer_id"), F.lit(self.buckets)).alias(BUCKET)
         replace_partitions(parts.select("*", bucket), tables.path(PROFILES), BUCKET)
 
+    def _refresh_cells(self, increment: DataFrame) -> None:
+        """Counts of the touched buckets; of all where none are stored yet (a folder of an earlier version)."""
+        tables = self.tables
+        profiles = tables.read(PROFILES)
+        if tables.exists(CELLS):
+            profiles = profiles.filter(F.col(BUCKET).isin(self._buckets_of(increment)))
+        resolved = resolve_profiles(profiles, self.spec, BUCKET)
+        replace_partitions(marts.cell_counts(resolved, BUCKET), tables.path(CELLS), BUCKET)
+
     def current_spec(self) -> PanelSpec:
         """The spec with the panel's end at the last month that has arrived."""
-        last = self.tables.read(PROFILES).agg(F.trunc(F.max("last_obs_month"), "MM")).first()[0]
+        last = self.tables.read(CELLS).agg(F.trunc(F.max("last_obs_month"), "MM")).first()[0]
         return replace(self.spec, panel_end=last)
 
     def customers(self) -> DataFrame:
@@ -115,12 +129,10 @@ class IncrementalLoad:
         return model.fct_customer(resolve_profiles(profiles, self.current_spec()))
 
     def _refresh_marts(self) -> None:
-        tables, spec, customers = self.tables, self.current_spec(), self.customers()
-        write_table(marts.adoption_curves(customers, spec), tables.path("mart_adoption_curves"))
-        write_table(
-            marts.adoption_curves(customers, spec, ["segmento"]), tables.path("mart_adoption_curves_by_segment")
-        )
-        write_table(marts.cohort_adoption(customers, spec), tables.path("mart_cohort_adoption"))
+        tables, spec, cells = self.tables, self.current_spec(), self.tables.read(CELLS)
+        write_table(marts.curves_of_cells(cells, spec), tables.path("mart_adoption_curves"))
+        write_table(marts.curves_of_cells(cells, spec, ["segmento"]), tables.path("mart_adoption_curves_by_segment"))
+        write_table(marts.cohorts_of_cells(cells, spec), tables.path("mart_cohort_adoption"))
 
     def run(
         self,

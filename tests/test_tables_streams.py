@@ -1,4 +1,6 @@
 import datetime as dt
+import glob
+import os
 import tempfile
 from dataclasses import replace
 
@@ -144,7 +146,12 @@ def test_incremental_loads_end_where_one_load_ends(spark, spec, folder, file_for
 
     def compare(raw, end):
         whole = Warehouse(raw, replace(spec, panel_end=end))
-        for name, want in (("stg_customer_month", whole.panel), ("mart_cohort_adoption", whole.cohort_adoption), ("mart_adoption_curves", whole.curves)):
+        for name, want in (
+            ("stg_customer_month", whole.panel),
+            ("mart_cohort_adoption", whole.cohort_adoption),
+            ("mart_adoption_curves", whole.curves),
+            ("mart_adoption_curves_by_segment", whole.curves_by_segment),
+        ):
             assert_same(tables.read(name), want, name)
         assert_same(load.customers(), whole.fct_customer)
 
@@ -180,6 +187,51 @@ def test_a_new_month_reads_no_history(spark, spec, folder, monkeypatch):
     assert "stg_customer_month" not in read
 
 
+def test_a_batch_reads_profiles_of_its_own_buckets_only(spark, spec, folder):
+    """Profiles of the other buckets are made unreadable before a batch of one customer comes."""
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 8, 1)).cache()
+    tables = TableSet(spark, folder)
+    load = IncrementalLoad(tables, spec, buckets=8)
+    late = raw.filter("fecha_dato >= '1995-07-01'")
+    one = late.orderBy("ncodpers").select("ncodpers").first()[0]
+    last = late.filter(F.col("ncodpers") == one)
+    first = raw.exceptAll(last)
+    load.apply(first, 0)
+    profiles = spark.read.parquet(f"{folder}/customer_profile")
+    own = profiles.filter(F.col("customer_id") == int(one)).select("customer_bucket").first()[0]
+    files = [f for f in glob.glob(f"{folder}/customer_profile/customer_bucket=*/*.parquet") if f"customer_bucket={own}/" not in f]
+    assert files
+    for file in files:
+        with open(file, "rb") as held:
+            data = held.read()
+        body = len(data) - 8 - int.from_bytes(data[-8:-4], "little")  # the footer, read for the schema, stays
+        with open(file, "wb") as out:
+            out.write(data[:4] + bytes(body - 4) + data[body:])
+        os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+    with pytest.raises(Exception):
+        tables.read("customer_profile").agg(F.max("first_obs_month")).collect()
+    load.apply(last, 1)
+    whole = Warehouse(raw, replace(spec, panel_end=dt.date(1995, 7, 1)))
+    assert_same(tables.read("mart_cohort_adoption"), whole.cohort_adoption)
+    assert_same(tables.read("mart_adoption_curves_by_segment"), whole.curves_by_segment)
+
+
+def test_a_load_that_stopped_between_profiles_and_marts_is_repeated(spark, spec, folder, monkeypatch):
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 6, 1)).cache()
+    tables = TableSet(spark, folder)
+    load = IncrementalLoad(tables, spec, buckets=4)
+    load.apply(raw.filter("fecha_dato < '1995-05-01'"), 0)
+    rest = raw.filter("fecha_dato >= '1995-05-01'")
+    with monkeypatch.context() as patched:
+        patched.setattr(load, "_refresh_cells", lambda increment: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            load.apply(rest, 1)
+    load.apply(rest, 1)
+    whole = Warehouse(raw, replace(spec, panel_end=dt.date(1995, 5, 1)))
+    assert_same(tables.read("mart_cohort_adoption"), whole.cohort_adoption)
+    assert_same(tables.read("mart_adoption_curves"), whole.curves)
+
+
 def test_malformed_lines_stop_a_load(spark, spec, folder):
     tables = TableSet(spark, folder)
     raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 2, 1))
