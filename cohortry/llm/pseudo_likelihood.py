@@ -4,9 +4,11 @@ Words are classes of the network: each of the most frequent words of the whole c
 one, whose probability is divided among its words by the corpus counts, a Spark table of every word. The network
 looks at two words before and two behind: an embedding for each place, their sum through tanh, and a softmax in
 two steps (a group of words, then the word within it), so a prediction costs tens of products, not thousands.
-It is trained in numpy with Adagrad: every partition takes one pass over all its texts from the same start, and
-Spark averages the parameters, weighted by words. A document's score is the sum of the log-probabilities of its
-words, each given its neighbours.
+It is trained in numpy with Adagrad, starting at the corpus frequencies: each of ``ROUNDS`` rounds takes the texts
+of one remainder of a hash, so that every text is learnt once. Blocks of about ``BLOCK`` words set out from the
+round's start with its Adagrad sums, and Spark averages what they reach, weighted by words. Tasks are merged until
+they hold a block, larger ones are several blocks: the model depends on the texts, not on how they are partitioned.
+A document's score is the sum of the log-probabilities of its words, each given its neighbours.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ WIDTH = 16
 CONTEXT = (-2, -1, 1, 2)
 BATCH = 8192
 RATE = 0.1
+DAMPING = 1e-3
+ROUNDS = 4
+BLOCK = 1 << 19
+CHUNK = 1 << 13
+FAN_IN = 64
 
 Network = dict[str, np.ndarray]
 
@@ -118,7 +126,7 @@ def step(net: Network, squares: Network, ids: np.ndarray, around: np.ndarray) ->
     """One Adagrad step in place."""
     for name, gradient in gradients(net, ids, around).items():
         squares[name] += gradient**2
-        net[name] -= RATE * gradient / (np.sqrt(squares[name]) + 1e-6)
+        net[name] -= RATE * gradient / (np.sqrt(squares[name]) + DAMPING)
 
 
 def word_ids(hashed: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -153,8 +161,23 @@ def _most(counts: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([row["word"] for row in top], np.int64).view(np.uint64))
 
 
+def at_frequencies(counts: DataFrame, vocabulary: np.ndarray) -> tuple[Network, int]:
+    """A network whose biases give each word its share of the corpus, and the corpus's number of words."""
+    net = initial()
+    held = dict(counts.filter(F.col("word").isin(vocabulary.view(np.int64).tolist())).collect())  # the vocabulary's
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    n = np.array([0, *[held.get(int(w), 0) for w in vocabulary.view(np.int64)]], np.float64)
+    n[0] = words - n.sum()
+    each = np.full(GROUPS * PER_GROUP, 0.5)  # places without a word, and words that do not occur
+    each[: len(n)] += n
+    each = each.reshape(GROUPS, PER_GROUP)
+    net["group_bias"] = np.log(each.sum(axis=1)).astype(np.float32)
+    net["word_bias"] = np.log(each).astype(np.float32)
+    return net, words
+
+
 def _pack(net: Network) -> np.ndarray:
-    return np.concatenate([value.reshape(-1) for value in net.values()]).astype(np.float64)
+    return np.concatenate([value.reshape(-1) for value in net.values()]).astype(np.float32)
 
 
 def _unpack(flat: np.ndarray, like: Network) -> Network:
@@ -162,42 +185,87 @@ def _unpack(flat: np.ndarray, like: Network) -> Network:
     return {name: part.reshape(value.shape).astype(np.float32) for (name, value), part in zip(like.items(), np.split(flat, bounds), strict=True)}
 
 
-def train(docs: DataFrame, vocabulary: np.ndarray, start: Network | None = None, rounds: int = 1) -> Network:
-    """The network after ``rounds`` passes of all partitions, averaged after each.
+def _chunks(flat: np.ndarray, seen: int, salt: int) -> pa.RecordBatch:
+    cut = [flat[begin : begin + CHUNK].tobytes() for begin in range(0, len(flat), CHUNK)]
+    return pa.RecordBatch.from_pydict(
+        {"chunk": pa.array(range(len(cut)), pa.int32()), "salt": pa.array([salt] * len(cut), pa.int32()), "seen": pa.array([seen] * len(cut), pa.int64()), "part": pa.array(cut, pa.binary())}
+    )
+
+
+_CHUNK_SCHEMA = "chunk int, salt int, seen long, part binary"
+
+
+def _mean_of_chunks(table: pa.Table) -> pa.Table:
+    """One row in place of those of a chunk, the mean weighted by words; its salt goes down a level."""
+    total = 0.0
+    seen = table.column("seen").to_numpy()
+    for part, n in zip(table.column("part"), seen, strict=True):
+        total = total + np.frombuffer(part.as_buffer(), np.float32).astype(np.float64) * n
+    mean = (total / seen.sum()).astype(np.float32).tobytes()
+    return pa.table(
+        {"chunk": table.column("chunk")[:1], "salt": pa.array([table.column("salt")[0].as_py() // FAN_IN], pa.int32()), "seen": pa.array([int(seen.sum())]), "part": pa.array([mean], pa.binary())}
+    )
+
+
+def averaged(parts: DataFrame, tasks: int) -> np.ndarray | None:
+    """The mean over all tasks, in a tree that never brings together more than ``FAN_IN`` rows of a chunk."""
+    while True:
+        parts = parts.groupBy("chunk", "salt").applyInArrow(_mean_of_chunks, _CHUNK_SCHEMA)
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            break
+    rows = sorted(parts.collect(), key=lambda row: row["chunk"])
+    return np.concatenate([np.frombuffer(row["part"], np.float32) for row in rows]) if rows else None
 
-    Only the average, whose size is the network's, reaches the driver.
+
+def train(docs: DataFrame, vocabulary: np.ndarray, start: Network | None = None, rounds: int = ROUNDS, counts: DataFrame | None = None) -> Network:
+    """The network after every text has been learnt once, in ``rounds`` rounds that begin at the mean of the last.
+
+    ``counts`` as of ``word_counts``, counted here where they are not given; ``start`` defaults to their
+    frequencies. Only the mean, whose size is the network's, reaches the driver.
     """
-    net = start or initial()
+    at_start, words = at_frequencies(word_counts(docs) if counts is None else counts, vocabulary)
+    net = start or at_start
+    squares = {name: np.zeros_like(value) for name, value in net.items()}
     context = docs.sparkSession.sparkContext
-    for _ in range(rounds):
-        sent = context.broadcast((net, vocabulary))
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    tasks = max(1, int(words) // (rounds * BLOCK))
+    for number in range(rounds):
+        sent = context.broadcast((net, squares, vocabulary))
+
+        def one_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given, sums, known = sent.value  # noqa: B023  collected before the next round
+            total, seen, block = None, 0, 0
+            fresh = lambda like: {name: value.copy() for name, value in like.items()}
+            own, own_squares = fresh(given), fresh(sums)
+            task = TaskContext.get().partitionId()
+
+            def close() -> None:
+                nonlocal total, seen, block, own, own_squares
+                if block:
+                    flat = np.concatenate([_pack(own), _pack(own_squares)]).astype(np.float64) * block
+                    total, seen, block = flat if total is None else total + flat, seen + block, 0
+                    own, own_squares = fresh(given), fresh(sums)
 
-        def one_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            given, words = sent.value  # noqa: B023  collected before the next round
-            own, seen = {name: value.copy() for name, value in given.items()}, 0
-            squares = {name: np.zeros_like(value) for name, value in own.items()}
             for batch in slices(batches, limit=1 << 20):
                 split = split_words(batch.column("text"))
-                ids = word_ids(hash_words(split), words)
+                ids = word_ids(hash_words(split), known)
                 around = contexts(ids, split.first, own["embed"].shape[1] - 1)
                 for begin in range(0, len(ids), BATCH):
                     part = slice(begin, begin + BATCH)
-                    step(own, squares, ids[part], around[:, part])
-                seen += len(ids)
+                    step(own, own_squares, ids[part], around[:, part])
+                    block += len(ids[part])
+                    if block >= BLOCK:
+                        close()
+            close()
             if seen:
-                flat = _pack(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], names=["place", "value", "seen"]
-                )
+                yield _chunks((total / seen).astype(np.float32), seen, task // FAN_IN)
 
-        parts = docs.select("text").mapInArrow(one_pass, "place int, value double, seen long")
-        mean = parts.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).collect()
+        texts = docs.filter(turn == number).select("text").coalesce(tasks)
+        flat = averaged(texts.mapInArrow(one_round, _CHUNK_SCHEMA), tasks)
         sent.unpersist()
-        if not mean:
-            break
-        flat = np.empty(len(mean))
-        flat[[row["place"] for row in mean]] = [row["value"] for row in mean]
-        net = _unpack(flat, net)
+        if flat is not None:
+            net, squares = (_unpack(half, net) for half in np.split(flat, 2))
     return net
 
 
@@ -264,4 +332,4 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Counts, vocabulary and network from all of ``docs``, then the score of each; an empty table gives no rows."""
     counts = stored(word_counts(docs))
     vocabulary = _most(counts, GROUPS * PER_GROUP - 1)
-    return score(docs, vocabulary, train(docs, vocabulary), counts)
+    return score(docs, vocabulary, train(docs, vocabulary, counts=counts), counts)

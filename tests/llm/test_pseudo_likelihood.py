@@ -107,3 +107,32 @@ def test_training_helps_on_texts_it_has_not_seen(spark):
     # neighbours tell more than frequencies alone
     alone = {k: np.zeros_like(v) if k == "embed" else v for k, v in trained.items()}
     assert mean(trained) > mean(alone) + 0.02
+
+
+def test_model_does_not_depend_on_partitions_and_beats_frequencies(spark):
+    """Held-out mean log-probability of a word, learnt from 1, 16 and 211 partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, other = docs.filter("doc_id % 5 != 0"), docs.filter("doc_id % 5 = 0").cache()
+    counts = pl.word_counts(seen).cache()
+    vocabulary = pl.frequent_words(seen, 1023)
+
+    def mean(net):
+        total = pl.score(other, vocabulary, net, counts).agg({"log_likelihood": "sum", "n_tokens": "sum"}).first()
+        return total["sum(log_likelihood)"] / total["sum(n_tokens)"]
+
+    start, words = pl.at_frequencies(counts, vocabulary)
+    assert words == counts.agg({"n": "sum"}).first()[0]
+    frequencies = mean({k: np.zeros_like(v) if k == "embed" else v for k, v in start.items()})
+    learnt = [mean(pl.train(seen.repartition(n), vocabulary, counts=counts)) for n in (1, 16, 211)]
+    assert min(learnt) > frequencies + 0.15
+    assert max(learnt) - min(learnt) < 0.05
+
+
+def test_means_of_many_tasks_and_blocks(spark, monkeypatch):
+    """Of 200 tasks, over two levels; the weighted mean is that of all at once."""
+    generator = np.random.default_rng(1)
+    flats, seen = generator.standard_normal((200, 20000)).astype(np.float32), generator.integers(1, 9, 200)
+    rows = [r for i in range(200) for r in pl._chunks(flats[i], int(seen[i]), i // pl.FAN_IN).to_pylist()]
+    frame = spark.createDataFrame([(r["chunk"], r["salt"], r["seen"], bytearray(r["part"])) for r in rows], pl._CHUNK_SCHEMA)
+    assert np.abs(pl.averaged(frame, 200) - np.average(flats, axis=0, weights=seen)).max() < 1e-5
+    assert pl.averaged(frame.limit(0), 1) is None
