@@ -63,51 +63,65 @@ def _breaks(rule: Rule) -> Column:
     return (col < rule.low) | (col > rule.high)
 
 
-def _result(kind: str, columns: Sequence[str], failures: Column) -> Column:
-    return F.struct(
-        F.lit(kind).alias("rule"), F.lit(",".join(columns)).alias("columns"), failures.cast("bigint").alias("failures")
-    )
-
-
-def _row_wise(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """All row conditions of a table in a single pass."""
-    counts = df.agg(*[F.count_if(_breaks(r)).alias(f"r{i}") for i, r in enumerate(rules)])
-    results = F.array(*[_result(r.kind, r.columns, F.col(f"r{i}")) for i, r in enumerate(rules)])
-    return counts.select(F.explode(results).alias("r")).select("r.*")
-
-
-def _repeated(df: DataFrame, rule: Rule) -> DataFrame:
-    """Number of keys that occur more than once."""
-    if rule.kind == "unique":
-        df = df.filter(F.col(rule.columns[0]).isNotNull())
-    twice = df.groupBy(*rule.columns).count().filter("count > 1")
-    return twice.agg(_result(rule.kind, rule.columns, F.count("*")).alias("r")).select("r.*")
-
-
-def _orphans(df: DataFrame, rule: Rule, parent: DataFrame) -> DataFrame:
-    """Rows whose value is missing in the parent. Counted per value first, so a value held by many
-    rows travels once."""
-    column = rule.columns[0]
-    values = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    known = parent.select(F.col(rule.parent_column).alias(column))
-    lost = values.join(known, column, "left_anti")
-    return lost.agg(_result(rule.kind, rule.columns, F.coalesce(F.sum("n"), F.lit(0))).alias("r")).select("r.*")
+def _key(df: DataFrame, columns: Sequence[str]) -> Column:
+    """The values as text, so that keys of different types share one column; -0.0 is 0.0, as in a grouping."""
+    floats = {name for name, kind in df.dtypes if kind in ("float", "double")}
+    return F.array(*[(F.col(c) + F.lit(0.0) if c in floats else F.col(c)).cast("string") for c in columns])
+
+
+def _entry(rule: int, key: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+
+
+def _entries(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(rule, key) for each row and rule that has to see it; broken row conditions have no key."""
+    entries = []
+    for i, rule in enumerate(rules):
+        if rule.row_wise:
+            entries.append(F.when(_breaks(rule), _entry(i, F.lit(None).cast("array<string>"))))
+        elif rule.kind == "unique_combination":
+            entries.append(_entry(i, _key(df, rule.columns)))
+        else:
+            entries.append(F.when(F.col(rule.columns[0]).isNotNull(), _entry(i, _key(df, rule.columns))))
+    needed = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return df.select(F.explode(needed).alias("e")).select("e.rule", "e.key", F.lit(1).alias("own"))
+
+
+def _failures(i: int, rule: Rule) -> Column:
+    """Over keys with their number of rows and of parent rows."""
+    mine = F.col("rule") == i
+    if rule.kind in ("unique", "unique_combination"):  # keys that occur more than once
+        count = F.count_if(mine & (F.col("n") > 1))
+    elif rule.kind == "relationships":  # rows whose value is missing in the parent
+        count = F.sum(F.when(mine & (F.col("known") == 0), F.col("n")))
+    else:
+        count = F.sum(F.when(mine, F.col("n")))
+    return F.coalesce(count, F.lit(0)).cast("bigint").alias(f"r{i}")
 
 
 def check(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(rule, columns, failures), one row per rule; zero failures is a pass."""
+    """(rule, columns, failures), one row per rule; zero failures is a pass.
+
+    One scan of the table and one exchange by (rule, key) whatever the number of rules. Rows combine before it: a
+    value held by many rows and a broken row condition travel once a task. Parents' keys join the same exchange,
+    marked, so that a value without a parent is a key without a mark.
+    """
     if not rules:
         raise ValueError("no rules given")
-    parts = []
-    row_wise = [r for r in rules if r.row_wise]
-    if row_wise:
-        parts.append(_row_wise(df, row_wise))
-    for rule in rules:
-        if rule.kind in ("unique", "unique_combination"):
-            parts.append(_repeated(df, rule))
-        elif rule.kind == "relationships":
-            parts.append(_orphans(df, rule, (parents or {})[rule.parent]))
-    return reduce(DataFrame.unionByName, parts)
+    sides = [_entries(df, rules)]
+    for i, rule in enumerate(rules):
+        if rule.kind == "relationships":
+            parent = (parents or {})[rule.parent].filter(F.col(rule.parent_column).isNotNull())
+            key = _key(parent, [rule.parent_column])
+            sides.append(parent.select(F.lit(i).alias("rule"), key.alias("key"), F.lit(0).alias("own")))
+    keys = reduce(DataFrame.unionByName, sides).groupBy("rule", "key")
+    counted = keys.agg(F.sum("own").alias("n"), F.count_if(F.col("own") == 0).alias("known"))
+    whole = counted.agg(*[_failures(i, rule) for i, rule in enumerate(rules)])
+    results = [
+        F.struct(F.lit(r.kind).alias("rule"), F.lit(",".join(r.columns)).alias("columns"), F.col(f"r{i}").alias("failures"))
+        for i, r in enumerate(rules)
+    ]
+    return whole.select(F.explode(F.array(*results)).alias("r")).select("r.*")
 
 
 def check_tables(tables: Mapping[str, DataFrame], rules: Mapping[str, Sequence[Rule]]) -> DataFrame:

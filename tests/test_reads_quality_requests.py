@@ -124,3 +124,26 @@ def test_admission_equals_the_sequential_limiter(spark, seed, per_client, global
     assert {r["request"]: r["admitted"] for r in decided.collect()} == want
     counts = requests.admission_counts(frame, **options).agg({"admitted": "sum", "requests": "sum"}).first()
     assert sum(counts) == sum(want.values()) + 400
+
+
+def test_all_key_rules_of_a_table_share_one_scan_and_one_exchange(spark, tmp_path):
+    child, parent = str(tmp_path / "child"), str(tmp_path / "parent")
+    # a third of the rows hold one value
+    spark.sql("select id, if(id % 3 = 0, 0, id) as a, if(id = 7, -0.0d, double(id)) as x, if(id < 4, null, 'k') as k from range(300)").write.parquet(child)
+    spark.sql("select id as p, double(id) as y from range(290) union all select null, null").write.parquet(parent)
+    rules = [
+        *q.not_null("id", "k"), q.unique("id"), q.unique("a"), q.unique("k"), q.unique("x"), q.unique_combination("k"),
+        q.relationship("a", "up", "p"), q.relationship("x", "up", "y"), q.accepted_range("a", 0, 298),
+    ]
+    got = q.check(spark.read.parquet(child), rules, {"up": spark.read.parquet(parent)})
+    want = [
+        ("not_null", "id", 0), ("not_null", "k", 4), ("unique", "id", 0), ("unique", "a", 1), ("unique", "k", 1), ("unique", "x", 1),
+        ("unique_combination", "k", 2), ("relationships", "a", 7), ("relationships", "x", 10), ("accepted_range", "a", 1),
+    ]
+    assert [tuple(r) for r in got.collect()] == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    assert plan.count("hashpartitioning(rule") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("/child]") == 1 and plan.count("/parent]") == 2
+    empty = q.check(spark.read.parquet(child).limit(0), rules, {"up": spark.read.parquet(parent)})
+    assert [r["failures"] for r in empty.collect()] == [0] * len(rules)
