@@ -83,8 +83,9 @@ def _entries(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             entries.append(_entry(i, _key(df, rule.columns)))
         else:
             entries.append(F.when(F.col(rule.columns[0]).isNotNull(), _entry(i, _key(df, rule.columns))))
-    needed = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    return df.select(F.explode(needed).alias("e")).select("e.rule", "e.key", F.lit(1).alias("own"))
+    # filtered after the explode, which stays in generated code
+    spread = df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
+    return spread.select("e.rule", "e.key", F.lit(1).alias("own"))
 
 
 def _failures(i: int, rule: Rule) -> Column:
