@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortry.functions.text import SHOWN, figure_tokens, plain_token, segment_name
-from cohortry.sources.tables import read_or_none, replace_partitions, settle
+from cohortry.sources.tables import publish, read_or_none
 
 # The layout of the digest table.
 DIGEST_SCHEMA = T.StructType(
@@ -183,33 +183,28 @@ def digest_rows(digests: DataFrame, run_id: Column | str, generated_at: Column |
     )
 
 
-def newest_per_key(rows: DataFrame) -> DataFrame:
-    """One row per key, the one written last (by window name if written together)."""
+def newest_per_key(rows: DataFrame, *first: str) -> DataFrame:
+    """One row per key: the greatest by ``first``, then the one written last (by window name if written together)."""
     values = [c for c in rows.columns if c not in DIGEST_KEY]
-    latest = F.max_by(F.struct(*values), F.struct("generated_at", "metric_window")).alias("row")
+    latest = F.max_by(F.struct(*values), F.struct(*first, "generated_at", "metric_window")).alias("row")
     return rows.groupBy(*DIGEST_KEY).agg(latest).select(*DIGEST_KEY, "row.*").select(*rows.columns)
 
 
 def merge_digests(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of ``new`` replace rows of the same cohort and run, whatever their window."""
-    incoming = newest_per_key(new)
-    return existing.join(incoming, list(DIGEST_KEY), "left_anti").unionByName(incoming)
+    """Rows of ``new`` replace rows of the same cohort and run, whatever their window and time."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return newest_per_key(both, "_new").drop("_new")
 
 
 def upsert_digests(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Merge into the table at ``path``, created when absent.
 
-    The table is partitioned by cohort, part of the key, so old and new versions of a row share a
-    partition and only the partitions of the cohorts in ``new`` are rewritten.
+    A digest is a few hundred rows a run, so the table is replaced as a whole, by one aggregate of old and new rows:
+    readers see the rows before or the rows after, and of two runs at once the second fails and is repeated.
     """
-    new = settle(newest_per_key(new))
     existing = read_or_none(spark, path, DIGEST_SCHEMA)
-    if existing is None:
-        merged = new
-    else:
-        touched = existing.join(new.select("cohort_month").distinct(), "cohort_month", "left_semi")
-        merged = merge_digests(touched, new)
-    replace_partitions(merged, path, "cohort_month")
+    rows = new.select(*DIGEST_SCHEMA.names)
+    publish(newest_per_key(rows) if existing is None else merge_digests(existing.select(*DIGEST_SCHEMA.names), rows), path)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:

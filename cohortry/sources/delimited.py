@@ -76,10 +76,13 @@ def _lines(spark: SparkSession, paths: str | list[str], quoted_newlines: bool) -
     return reduce(DataFrame.unionByName, parts)
 
 
+def _count_bad(lines: DataFrame) -> int:
+    return lines.agg(F.count_if(F.col(BAD_RECORD).isNotNull()), F.count(_quoted(lines.columns[0]))).first()[0]
+
+
 def count_bad_records(spark: SparkSession, path: str | list[str], quoted_newlines: bool = True) -> int:
     """Rows whose number of fields differs from the header's."""
-    lines = _lines(spark, path, quoted_newlines)
-    return lines.agg(F.count_if(F.col(BAD_RECORD).isNotNull()), F.count(lines.columns[0])).first()[0]
+    return _count_bad(_lines(spark, path, quoted_newlines))
 
 
 def read_all_string(
@@ -93,8 +96,8 @@ def read_all_string(
     Files are split whatever their size. Where fields may hold line breaks, a pass over the splits first finds
     where records begin (``records``); files without such fields need none with ``quoted_newlines=False``.
     """
-    require_few(count_bad_records(spark, path, quoted_newlines), max_bad)
     lines = _lines(spark, path, quoted_newlines)
+    require_few(_count_bad(lines), max_bad)
     return lines.filter(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
 
 

@@ -11,7 +11,7 @@ from cohortry.operators import marts, model
 from cohortry.operators.resolve import entity_profile, merge_profiles, resolve_profiles
 from cohortry.operators.staging import clean_panel
 from cohortry.sources.delimited import read_all_string
-from cohortry.sources.tables import TableSet, read_or_none, replace_partitions, write_table
+from cohortry.sources.tables import TableSet, read_or_none, replace_partitions
 from cohortry.spec import PanelSpec
 
 PANEL, PROFILES, CELLS = "stg_customer_month", "customer_profile", "customer_cells"
@@ -130,9 +130,9 @@ class IncrementalLoad:
 
     def _refresh_marts(self) -> None:
         tables, spec, cells = self.tables, self.current_spec(), self.tables.read(CELLS)
-        write_table(marts.curves_of_cells(cells, spec), tables.path("mart_adoption_curves"))
-        write_table(marts.curves_of_cells(cells, spec, ["segmento"]), tables.path("mart_adoption_curves_by_segment"))
-        write_table(marts.cohorts_of_cells(cells, spec), tables.path("mart_cohort_adoption"))
+        tables.write("mart_adoption_curves", marts.curves_of_cells(cells, spec))
+        tables.write("mart_adoption_curves_by_segment", marts.curves_of_cells(cells, spec, ["segmento"]))
+        tables.write("mart_cohort_adoption", marts.cohorts_of_cells(cells, spec))
 
     def run(
         self,

@@ -1,4 +1,5 @@
 import datetime as dt
+import glob
 import json
 import tempfile
 
@@ -92,6 +93,19 @@ def test_upsert_key_leaves_out_the_window(spark):
     assert digest.latest_digest(digest.read_digests(spark, path), "msa_12").isEmpty()
 
 
+def test_an_upsert_that_fails_leaves_the_digests_and_writes_no_folder_per_cohort(spark):
+    path = tempfile.mkdtemp(prefix="run-") + "/digests"
+    digest.upsert_digests(spark, path, rows_for(spark, *[(f"2015-{m:02d}", "msa_6", "r1", 1, "a") for m in range(1, 13)]))
+    broken = rows_for(spark, ("2015-10", "msa_6", "r1", 5, "b")).withColumn("prose", F.expr("raise_error('half-way')"))
+    with pytest.raises(Exception, match="half-way"):
+        digest.upsert_digests(spark, path, broken)
+    assert {r["prose"] for r in digest.read_digests(spark, path).collect()} == {"a"}
+    digest.upsert_digests(spark, path, rows_for(spark, ("2015-10", "msa_3", "r1", 1, "c")))
+    rows = {r["cohort_month"]: r["prose"] for r in digest.read_digests(spark, path).collect()}
+    assert len(rows) == 12 and rows["2015-10"] == "c"
+    assert not glob.glob(f"{path}/**/cohort_month=*", recursive=True)
+
+
 def test_run_and_store(spark, launch):
     path = tempfile.mkdtemp(prefix="run-") + "/digests"
     assert digest_run.run_and_store(spark, launch, path, "r1").startswith("stored 1995-11")

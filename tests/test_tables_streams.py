@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortry.operators.requests import admission_counts
 from cohortry.plans.warehouse import QualityError, Warehouse, build
 from cohortry.sources.delimited import count_bad_records, header_names, read_all_string
+from cohortry.sources import tables as module
 from cohortry.sources.orders_panel import raw_panel
 from cohortry.sources.tables import TableSet, replace_partitions, settle, shared_folder
 from cohortry.streaming.admission import read_admission_counts, run_admission_counts
@@ -74,6 +75,46 @@ def test_table_modes(spark, folder):
     assert tables.view("v", tables.read("t").filter("id > 2")).count() == 2 == spark.sql("select * from v").count()
 
 
+def test_a_replacement_that_fails_leaves_the_table(spark, folder):
+    tables = TableSet(spark, folder)
+    tables.write("t", spark.range(5))
+    with pytest.raises(Exception, match="half-way"):
+        tables.write("t", spark.range(0, 100, 1, 4).selectExpr("if(id > 70, raise_error('half-way'), id) AS id"))
+    assert tables.read("t").count() == 5 and len(glob.glob(f"{folder}/t/version-*")) == 1
+    with pytest.raises(Exception, match="half-way"):
+        tables.write("u", spark.range(3).selectExpr("raise_error('half-way') AS id"))
+    assert not tables.exists("u")
+
+
+def test_readers_keep_the_version_they_began_with(spark, folder):
+    tables = TableSet(spark, folder)
+    first = tables.write("t", spark.range(5))
+    second = tables.write("t", tables.read("t").selectExpr("id + 10 AS id"))  # computed from the table itself
+    assert first.count() == 5 == second.filter("id >= 10").count() and tables.read("t").filter("id < 10").isEmpty()
+    for _ in range(3):
+        tables.write("t", tables.read("t"))
+    assert len(glob.glob(f"{folder}/t/version-*")) == 2 == len(glob.glob(f"{folder}/t/_current-*"))
+
+
+def test_of_two_replacements_of_one_version_the_second_fails(spark, folder, monkeypatch):
+    tables = TableSet(spark, folder)
+    tables.write("t", spark.range(1))
+    began = module._pointers(spark, tables.path("t"))
+    tables.write("t", spark.range(2))
+    with monkeypatch.context() as patched:
+        patched.setattr(module, "_pointers", lambda *_: began)
+        with pytest.raises(module.OutdatedError):
+            tables.write("t", spark.range(3))
+    assert tables.read("t").count() == 2 and tables.write("t", spark.range(4)).count() == 4
+
+
+def test_a_folder_without_versions_is_read_and_replaced(spark, folder):
+    tables = TableSet(spark, folder)
+    spark.range(3).write.parquet(tables.path("t"))
+    assert tables.read("t").count() == 3 and tables.write_if_absent("t", spark.range(9)).count() == 3
+    assert tables.write("t", spark.range(4)).count() == 4 == tables.read("t").count()
+
+
 def test_partitions_are_replaced_from_their_own_table(spark, folder):
     path = folder + "/p"
     replace_partitions(spark.range(10).selectExpr("id % 2 as part", "id"), path, "part")
