@@ -5,6 +5,10 @@ documents (16 or 32 bits each, little-endian) with their keys and lengths. Index
 buckets of about two thousand; a bucket's hash function sends its n keys to n slots without gap or
 clash (groups of keys displaced by a pilot, as in compress-hash-displace). A slot stores a 32-bit
 fingerprint of its key, which turns foreign keys away, and the place of the document.
+
+Layout for keyed access: a folder per shard with a few blocks to a row group, and the index in sections of some
+sixteen buckets, a folder each. A few keys name their buckets, hence sections, and the places found name
+shards and blocks: nothing else is opened.
 """
 
 from __future__ import annotations
@@ -25,6 +29,9 @@ from cohortry.llm.words import mix, slices
 
 BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 2000
+SECTION_BUCKETS, MAX_SECTIONS = 16, 20_000
+GROUP_BLOCKS = 4  # blocks to a row group
+FEW = 1000  # buckets or blocks that are named to the reader; beyond, all are read
 
 _BLOCK = pa.schema(
     [("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()),
@@ -34,6 +41,9 @@ _BLOCK_DDL = (
     "shard int, block int, before long, n_ids long, doc_ids array<long>, lengths array<int>, payload binary"
 )
 _PLACE_DDL = "shard int, block int, place int, start long, n_tokens int"
+_BUCKET_DDL = (
+    "bucket int, pilots binary, prints binary, shard binary, block binary, place binary, start binary, n_tokens binary, section int"
+)
 
 
 @dataclass(frozen=True)
@@ -83,7 +93,9 @@ def write_token_files(
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         shards or shuffle_width(spark), "doc_id"
     )
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, _BLOCK_DDL).write.parquet(f"{folder}/payload")
+    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, _BLOCK_DDL).write.option(
+        "parquet.block.row.count.limit", GROUP_BLOCKS
+    ).partitionBy("shard").parquet(f"{folder}/payload")
     buckets = _write_index(spark, f"{folder}/payload", f"{folder}/index")
     return TokenFiles(f"{folder}/payload", f"{folder}/index", buckets, dtype)
 
@@ -96,7 +108,7 @@ def _id_type(tokenizer: str, end_id: int) -> str:
 
 def _write_index(spark: SparkSession, payload: str, index: str) -> int:
     """One row per bucket of keys. Only the shards' sizes pass the driver."""
-    blocks = spark.read.parquet(payload)
+    blocks = _read_payload(spark, payload)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.sum(F.size("doc_ids")).alias("docs")).collect()
     sizes.sort(key=lambda row: row["shard"])
     starts = np.append(0, np.cumsum([row["n"] for row in sizes])).tolist()
@@ -109,11 +121,9 @@ def _write_index(spark: SparkSession, payload: str, index: str) -> int:
     )
     rows = held.mapInArrow(_places, f"doc_id long, {_PLACE_DDL}")
     # how many rows of the same key came before; equal keys lie in one shard, next to each other
-    rows = rows.withColumn("bucket", _bucket(buckets))
-    rows.groupBy("bucket").applyInArrow(
-        _build_bucket,
-        "bucket int, pilots binary, prints binary, shard binary, block binary, place binary, start binary, n_tokens binary",
-    ).write.parquet(index)
+    rows = rows.withColumn("bucket", _bucket(buckets)).withColumn("section", _section(buckets))
+    built = rows.repartition(_sections(buckets), "section").groupBy("section", "bucket").applyInArrow(_build_bucket, _BUCKET_DDL)
+    built.write.option("parquet.block.row.count.limit", SECTION_BUCKETS).partitionBy("section").parquet(index)
     return buckets
 
 
@@ -121,6 +131,24 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
+def _sections(buckets: int) -> int:
+    return min(-(-buckets // SECTION_BUCKETS), MAX_SECTIONS)
+
+
+def _section(buckets: int):
+    return F.col("bucket") % _sections(buckets)
+
+
+def _read_payload(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_BLOCK_DDL).parquet(path)
+
+
+def _few(rows: DataFrame, *columns: str) -> list | None:
+    """Distinct values, or None when they are more than ``FEW``."""
+    found = rows.select(*columns).distinct().limit(FEW + 1).collect()
+    return found if len(found) <= FEW else None
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = batch.column("lengths")
@@ -204,16 +232,19 @@ def _build_bucket(table: pa.Table) -> pa.Table:
     pilots, slots = perfect_hash(key, turn)
     to_key = np.argsort(slots)
     prints = (_key_hash(key, turn, _PRINT) >> np.uint64(32)).astype(np.uint32)[to_key]
-    row = {"bucket": table.column("bucket")[0].as_py(), "pilots": pilots.tobytes(), "prints": prints.tobytes()}
+    place = {name: table.column(name)[0].as_py() for name in ("section", "bucket")}
+    row = {"bucket": place["bucket"], "pilots": pilots.tobytes(), "prints": prints.tobytes()}
     for name in ("shard", "block", "place", "start", "n_tokens"):
         row[name] = table.column(name).to_numpy()[to_key].tobytes()
-    return pa.Table.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in list(row)[1:]]]))
+    schema = [("bucket", pa.int32()), *[(k, pa.binary()) for k in list(row)[1:]], ("section", pa.int32())]
+    return pa.Table.from_pylist([{**row, "section": place["section"]}], schema=pa.schema(schema))
 
 
-def locate(files: TokenFiles, keys: DataFrame) -> DataFrame:
+def locate(files: TokenFiles, keys: DataFrame, few: bool = False) -> DataFrame:
     """Places of keys (doc_id, turn: 0 for the first row of a doc_id): one probe of the index per key.
 
-    Keys that the files do not hold give no row (a foreign key passes its fingerprint once in 2^32).
+    Keys that the files do not hold give no row (a foreign key passes its fingerprint once in 2^32). With ``few``
+    the keys are looked at first, and only their buckets are read where these are at most ``FEW``.
     """
 
     def probe(wanted: pa.Table, held: pa.Table) -> pa.Table:
@@ -231,13 +262,22 @@ def locate(files: TokenFiles, keys: DataFrame) -> DataFrame:
         mask = pa.array(own)
         return pa.table({"doc_id": wanted.column("doc_id").filter(mask), "turn": wanted.column("turn").filter(mask), **found}, schema=pa.schema(schema))
 
-    index = keys.sparkSession.read.parquet(files.index)
+    index = keys.sparkSession.read.schema(_BUCKET_DDL).parquet(files.index)
     wanted = keys.select("doc_id", F.col("turn").cast("int").alias("turn")).withColumn("bucket", _bucket(files.buckets))
+    named = _few(wanted.withColumn("section", _section(files.buckets)), "section", "bucket") if few else None
+    if named is not None:
+        in_place = F.col("section").isin(sorted({r["section"] for r in named}))
+        index = index.filter(in_place & F.col("bucket").isin(sorted({r["bucket"] for r in named})))
+    index = index.drop("section")
     return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(probe, f"doc_id long, turn int, {_PLACE_DDL}")
 
 
 def fetch(files: TokenFiles, keys: DataFrame) -> DataFrame:
-    """doc_id, turn, start, ids (array) of some keys, read from their blocks only."""
+    """doc_id, turn, start, ids (array) of some keys.
+
+    Where the keys lie in at most ``FEW`` buckets and blocks, only these are opened: folders of their sections and
+    shards by partition, row groups by bucket and block. More keys are joined to one scan.
+    """
     dtype = files.dtype
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +289,15 @@ def fetch(files: TokenFiles, keys: DataFrame) -> DataFrame:
                     pa.schema([("doc_id", pa.int64()), ("turn", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))]),
                 )
 
-    wanted = locate(files, keys).groupBy("shard", "block").agg(
+    places = locate(files, keys, few=True)
+    payload = _read_payload(keys.sparkSession, files.payload).select("shard", "block", "payload")
+    named = _few(places, "shard", "block")
+    if named is not None:
+        in_place = F.col("shard").isin(sorted({r["shard"] for r in named}))
+        payload = payload.filter(in_place & F.col("block").isin(sorted({r["block"] for r in named})))
+    wanted = places.groupBy("shard", "block").agg(
         F.collect_list(F.struct("doc_id", "turn", "place", "n_tokens", "start")).alias("wanted")
     )
-    payload = keys.sparkSession.read.parquet(files.payload).select("shard", "block", "payload")
     return payload.join(wanted, ["shard", "block"]).select("payload", "wanted").mapInArrow(
         cut, "doc_id long, turn int, start long, ids array<int>"
     )
@@ -278,7 +323,7 @@ def read_all(files: TokenFiles, keys: DataFrame) -> DataFrame:
                     }
                 )
 
-    payload = keys.sparkSession.read.parquet(files.payload).select("shard", "block", "lengths", "payload")
+    payload = _read_payload(keys.sparkSession, files.payload).select("shard", "block", "lengths", "payload")
     read = payload.mapInArrow(check, "shard int, block int, place int, ids_crc32 long")
     return locate(files, keys).join(read, ["shard", "block", "place"]).select(
         "doc_id", "turn", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32"

@@ -1,7 +1,10 @@
+import glob
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -58,6 +61,44 @@ def test_keyed_access_and_foreign_keys(spark, documents):
     assert got == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in texts.items()}
 
 
+def spoil(folder, keep):
+    """Files of other folders than ``keep`` become unreadable."""
+    spoilt = 0
+    for file in glob.glob(f"{folder}/*/*.parquet"):
+        if os.path.basename(os.path.dirname(file)) != keep:
+            with open(file, "wb") as out:
+                out.write(b"spoilt")
+            os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+            spoilt += 1
+    return spoilt
+
+
+def test_one_key_opens_one_section_one_shard_and_its_row_groups(spark, documents, monkeypatch):
+    monkeypatch.setattr(token_files, "BUCKET_KEYS", 4)
+    monkeypatch.setattr(token_files, "BLOCK_BYTES", 4000)
+    files = token_files.write_token_files(documents, WORD_BPE, 2, shards=4)
+    key = spark.createDataFrame([(77, 0)], "doc_id long, turn int")
+    place = token_files.locate(files, key).withColumn("bucket", token_files._bucket(files.buckets)).first()
+    assert token_files._sections(files.buckets) > 1
+    section, shard = place.bucket % token_files._sections(files.buckets), place.shard
+    (part,) = glob.glob(f"{files.payload}/shard={shard}/*.parquet")
+    groups = pq.ParquetFile(part).metadata
+    assert groups.num_row_groups > 1 and groups.row_group(0).num_rows <= token_files.GROUP_BLOCKS
+    assert spoil(files.index, f"section={section}") and spoil(files.payload, f"shard={shard}")
+    fetched = token_files.fetch(files, key)
+    text = documents.filter("doc_id = 77").first().text
+    assert [r.ids for r in fetched.collect()] == [[*Tokenizer.from_file(WORD_BPE).encode(text, add_special_tokens=False).ids, 2]]
+    assert f"In(block, [{place.block}])" in (plan := fetched._jdf.queryExecution().toString()) or f"EqualTo(block,{place.block})" in plan
+    with pytest.raises(Exception):
+        token_files.read_all(files, key).collect()
+
+
+def test_many_keys_are_read_by_one_scan(documents, monkeypatch):
+    monkeypatch.setattr(token_files, "FEW", 0)
+    files, _, _ = read(documents)
+    assert token_files.fetch(files, token_files.keys_of(documents)).count() == documents.count()
+
+
 def test_empty_table(table):
     assert read(table([]))[1] == []
 
