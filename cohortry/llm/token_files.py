@@ -93,8 +93,8 @@ def write_token_files(
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(
         shards or shuffle_width(spark), "doc_id"
     )
-    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, _BLOCK_DDL).write.option(
-        "parquet.block.row.count.limit", GROUP_BLOCKS
+    ordered.sortWithinPartitions("doc_id", "text").mapInArrow(blocks, _BLOCK_DDL).write.options(
+        **{"parquet.block.row.count.limit": GROUP_BLOCKS, "parquet.enable.dictionary": False}
     ).partitionBy("shard").parquet(f"{folder}/payload")
     buckets = _write_index(spark, f"{folder}/payload", f"{folder}/index")
     return TokenFiles(f"{folder}/payload", f"{folder}/index", buckets, dtype)
@@ -186,27 +186,39 @@ def perfect_hash(doc_id: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.n
     group = (_key_hash(doc_id, turn, _GROUP) % np.uint64(groups)).astype(np.int64)
     members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=groups))[:-1])
     free, pilots, slots = np.ones(n, bool), np.zeros(groups, np.int64), np.zeros(n, np.int64)
-    trial = np.arange(64)
-    for g in sorted(range(groups), key=lambda g: -len(members[g])):
-        own = members[g]
-        if len(own) == 1:
-            slots[own] = slot = int(np.argmax(free))
-            free[slot], pilots[g] = False, -1 - slot
-        elif len(own):
-            base = 0
-            while True:
-                tried = (_key_hash(doc_id[own], turn[own], (base + trial)[:, None]) % np.uint64(n)).astype(np.int64)
-                ordered = np.sort(tried, axis=1)
-                good = free[tried].all(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-                if good.any():
-                    break
-                base += len(trial)
-            pick = int(np.argmax(good))
-            slots[own], pilots[g] = tried[pick], base + pick
-            free[tried[pick]] = False
+    sizes = np.array([len(own) for own in members])
+    for size in np.unique(sizes[sizes > 1])[::-1].tolist():
+        for alike in np.array_split(np.flatnonzero(sizes == size), -(-int((sizes == size).sum()) // 256)):
+            _place_groups(alike, np.stack([members[g] for g in alike]), doc_id, turn, free, pilots, slots)
+    single = np.flatnonzero(sizes == 1)
+    left = np.flatnonzero(free)[: len(single)]
+    slots[[members[g][0] for g in single]] = left
+    pilots[single] = -1 - left
     return pilots, slots
 
 
+def _place_groups(group, own, doc_id, turn, free, pilots, slots, trials: int = 256) -> None:
+    """The first pilot that sends a group's keys (a row of ``own``) to different free slots, group after group.
+
+    Slots under the first pilots are computed for all groups at once; a group that fits none of them goes on alone.
+    """
+    n = np.uint64(len(free))
+    trial = np.arange(trials)[:, None, None]
+    tried = (_key_hash(doc_id[own], turn[own], trial) % n).astype(np.int64).transpose(1, 0, 2)
+    ordered = np.sort(tried, axis=2)
+    apart = (ordered[:, :, 1:] != ordered[:, :, :-1]).all(axis=2)
+    for g, keys, options, good in zip(group.tolist(), own, tried, apart, strict=True):
+        base, good = 0, good & free[options].all(axis=1)
+        while not good.any():
+            base += trials
+            options = (_key_hash(doc_id[keys], turn[keys], base + trial[:, 0]) % n).astype(np.int64)
+            ordered = np.sort(options, axis=1)
+            good = free[options].all(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+        pick = int(good.argmax())
+        slots[keys], pilots[g] = options[pick], base + pick
+        free[options[pick]] = False
+
+
 def find_slots(pilots: np.ndarray, n: int, doc_id: np.ndarray, turn: np.ndarray) -> np.ndarray:
     pilot = pilots[(_key_hash(doc_id, turn, _GROUP) % np.uint64(len(pilots))).astype(np.int64)]
     tried = _key_hash(doc_id, turn, np.maximum(pilot, 0)) % np.uint64(n)
