@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from cohortry.operators.requests import admission
@@ -56,3 +57,43 @@ def test_late_requests_are_refused_and_state_goes(spark, stream, tmp_path):
     assert got == {1: (START, True), 3: (START, False)}
     state = spark.read.format("statestore").option("stateVarName", "clients").load(f"{tmp_path}/tables/d_checkpoint")
     assert state.count() == 1  # the open bucket alone
+
+
+class _State:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self):
+        self.calls += 1
+
+    def containsKey(self, key):
+        self._call()
+        return key in self.held
+
+    def getValue(self, key):
+        self._call()
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self._call()
+        self.held[key] = value
+
+
+def test_state_calls_grow_with_chunks_not_with_clients():
+    rng = random.Random(5)
+    rows = [(rng.randrange(10**6), k, f"={rng.randrange(3000)}") for k in range(9000)]
+    earliest = decisions._Earliest(2, 1000)
+    earliest.clients = _State()
+    refused = []
+    for begin in (0, 3000, 6000):
+        frame = pd.DataFrame(rows[begin : begin + 3000], columns=["at", "request", "client_key"])
+        refused += earliest._merge(frame.assign(chunk=frame["client_key"].str.slice(1).astype(int) % 7))["request"].tolist()
+    assert earliest.clients.calls <= 3 * 3 * 7
+    by_client = {}
+    for at, request, client in sorted(rows):
+        by_client.setdefault(client, []).append(request)
+    assert sorted(refused) == sorted(r for requests in by_client.values() for r in requests[2:])
+    held = pd.concat([decisions._unpacked(value[0]) for value in earliest.clients.held.values()])
+    assert sorted(held["request"]) == sorted(r for requests in by_client.values() for r in requests[:2])
