@@ -261,13 +261,14 @@ def near_duplicates(
     made = wanted.mapInArrow(lambda it: _shingle_sets(it, width, counted), "node long, shingles array<long>")
     # rows of one doc_id are one document: its shingles are those of all its texts
     sets = stored(made.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("shingles"))).alias("shingles")))
-    links = stored(_verified(_pairs(crowded, small), sets, threshold))
-    classes = stored(components(links))
+    classes = components(_verified(_pairs(crowded, small), sets, threshold))
 
     # the nodes of large buckets that hold more than one class meet all they may be similar to
     placed = crowded.filter(F.col("size") > small).join(classes, "node", "left")
     placed = stored(placed.select("bucket", "node", F.coalesce("class", "node").alias("class")))
     split = placed.groupBy("bucket").agg(F.min("class").alias("one"), F.max("class").alias("other")).filter("one < other")
+    # a class found so far goes on as one link per node
+    links = classes.select(F.col("node").alias("a"), F.col("class").alias("b"))
     if not split.isEmpty():
         again = placed.join(split.select("bucket"), "bucket").select("node", "class").distinct()
         prefixes = stored(_prefixes(stored(sets.join(again, "node")), threshold))

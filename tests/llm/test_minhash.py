@@ -136,3 +136,23 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(100, 130)] + [(5, i) for i in range(6, 40)]
     got = {r["node"]: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 131)} | {i: 5 for i in range(5, 40)}
+
+
+def test_components_put_roots_in_the_place_of_links(spark, monkeypatch):
+    """A dense group's links are joined once, not in every round; classes equal those of a union by hand."""
+    rng = np.random.default_rng(3)
+    dense = {tuple(sorted(map(int, rng.choice(200, 2, replace=False)))) for _ in range(4000)}
+    chain = [(1000 - i, 1001 - i) for i in range(90)] + [(2000, 3000 + i) for i in range(50)] + [(7000 + i, 7999) for i in range(50)]
+    links = [*dense, *chain, *[(b, a) for a, b in chain], (5000, 5000)]
+    written = []
+    keep = components.__globals__["stored"]
+    monkeypatch.setitem(components.__globals__, "stored", lambda df: written.append(keep(df)) or written[-1])
+    got = {r["node"]: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    root = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for _ in range(200):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    sizes = [t.count() for t in written if t.columns == ["a", "b"]]
+    assert sizes[0] > 3000 and sum(sizes[1:]) < 200 and len(sizes) <= 6
