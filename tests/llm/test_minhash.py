@@ -155,4 +155,4 @@ def test_components_put_roots_in_the_place_of_links(spark, monkeypatch):
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
     sizes = [t.count() for t in written if t.columns == ["a", "b"]]
-    assert sizes[0] > 3000 and sum(sizes[1:]) < 200 and len(sizes) <= 6
+    assert sizes[0] > 3000 and sum(sizes[1:]) < 200 and sizes[-1] == 0 and len(sizes) <= 6
