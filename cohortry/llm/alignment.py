@@ -101,7 +101,7 @@ class Aligner:
         # words of the byte-level encoder; only a segment with further white space holds several
         cut = [[w] if s.isprintable() and " " not in s else self.first.split(w) for s, w in zip(segments, whole, strict=True)]
         packed = self.first.words(list(chain.from_iterable(cut)))
-        self.first.known.clear()  # segments are kept here
+        self.first.forget()  # segments are kept here
         per_word = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
         n_words = np.fromiter(map(len, cut), np.int64, len(cut))
         n_a = np.diff(np.append(0, np.cumsum(per_word))[np.append(0, np.cumsum(n_words))])

@@ -48,9 +48,13 @@ def byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Ids (little-endian 32-bit) of texts; up to ``limit`` distinct words and pieces are kept each."""
+    """Ids (little-endian 32-bit) of texts; up to ``limit`` words seen last are kept, and a quarter as many pieces of words.
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    Words are kept in two generations: when the younger is full it becomes the older, whose words move back when they
+    are seen again. Words seen once, most of a corpus, go without those that every text has.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -68,6 +72,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.limit = limit
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
@@ -75,39 +80,59 @@ class WordEncoder:
             return text.replace("\n", " ").split(" ")
         return _BYTE_WORD.findall(text)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.limit:
-                self.pieces.clear()
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = pack_ids([token.id for token in self.model.tokenize(letters)])
-        return ids
+    def _tokenized(self, piece: str) -> bytes:
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return pack_ids([token.id for token in self.model.tokenize(letters)])
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        """Ids of a word's pieces. A word that is one piece is kept as a word only."""
+        held = self.pieces
+        if len(pieces) == 1:
+            return held.get(pieces[0]) or self._tokenized(pieces[0])
+        parts = []
+        for piece in pieces:
+            ids = held.get(piece)
+            if ids is None:
+                if len(held) >= self.limit // 4:
+                    held.clear()
+                ids = held[piece] = self._tokenized(piece)
+            parts.append(ids)
+        return b"".join(parts)
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of all these words at hand."""
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-        plain = [word for word in words if self.plain(word) and self.special not in word]
+        if len(self.known) + len(words) > self.limit // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        again = [word for word in words if word in older]
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = words.difference(again) if again else words
+        plain = [word for word in new if self.plain(word) and self.special not in word]
         joined = "\0".join([*plain, ""])
-        pieces, parts, done = self.pieces, [], []
+        pieces, done = [], []
         for piece in self.cut(joined.lower() if self.word_kind else joined):
             if piece == "\0":
-                done.append(b"".join(parts))
-                parts = []
+                done.append(self._joined(pieces))
+                pieces = []
             else:
-                parts.append(pieces.get(piece) or self._piece(piece))
-        self.known.update(zip(plain, done, strict=True))
-        for word in words.difference(plain):
-            self.known[word] = pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                pieces.append(piece)
+        known.update(zip(plain, done, strict=True))
+        for word in new.difference(plain):
+            known[word] = pack_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def forget(self) -> None:
+        """Let go of the words; pieces stay."""
+        self.known, self.older = {}, {}
 
     def words(self, words: list[str]) -> list[bytes]:
         """Ids of words as ``split`` gives them."""
         ids = list(map(self.known.get, words))
-        if None in ids:
-            new = {word for word, held in zip(words, ids, strict=True) if held is None}
-            self.learn(new if len(self.known) + len(new) <= self.limit else set(words))
-            ids = list(map(self.known.__getitem__, words))
+        missing = [i for i, held in enumerate(ids) if held is None]
+        if missing:
+            self.learn({words[i] for i in missing})
+            known = self.known
+            for i in missing:
+                ids[i] = known[words[i]]
         return ids
 
     def encode(self, text: str) -> bytes:

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 from cohortry.llm.encoding import encoder
 from cohortry.llm.storage import stored
 from cohortry.llm.words import slices
+from cohortry.llm.worker_memory import let_go
 
 CAPACITY = 2048
 # rows of one length are ranked in groups of about this many
@@ -139,6 +140,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     bounds = np.searchsorted(length, np.arange(capacity + 2))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # of the tokenizer that cut the pieces
         for batch in batches:
             own, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             order = np.lexsort((rank, own))

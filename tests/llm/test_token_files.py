@@ -108,3 +108,23 @@ def test_perfect_hash_is_minimal():
     pilots, slots = token_files.perfect_hash(keys, np.zeros_like(keys))
     assert sorted(slots.tolist()) == list(range(3001))
     assert (token_files.find_slots(pilots, 3001, keys, np.zeros_like(keys)) == slots).all()
+
+
+def test_words_of_every_text_outlive_words_seen_once():
+    """A full cache once forgot all words; those of every text were encoded again and again."""
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), limit=80)
+    asked, model = [], encoder.model
+
+    class Counted:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return model.tokenize(letters)
+
+    encoder.model = Counted()
+    for i in range(60):
+        letters = "".join(chr(97 + int(d)) for d in str(1000 + i))
+        text = "first common " + " ".join(letters + chr(97 + k) for k in range(10))
+        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text).tolist() == want
+        assert len(encoder.known) + len(encoder.older) <= 80
+    assert asked.count("\u0120common") == 1
