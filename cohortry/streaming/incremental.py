@@ -15,7 +15,7 @@ from cohortry.sources.tables import TableSet, read_or_none, replace_partitions
 from cohortry.spec import PanelSpec
 
 PANEL, PROFILES, CELLS = "stg_customer_month", "customer_profile", "customer_cells"
-INCREMENT, LAYOUT = "increment", "layout"
+INCREMENT, CLAIMED, LAYOUT = "increment", "claimed", "layout"
 PANEL_KEY = ("customer_id", "snapshot_month")
 BUCKET = "customer_bucket"
 DEFAULT_BUCKETS = 64
@@ -66,10 +66,9 @@ class IncrementalLoad:
     def apply(self, raw: DataFrame, batch: int) -> None:
         """Merge one batch of raw rows."""
         tables, spark = self.tables, raw.sparkSession
-        panel = one_per_key(clean_panel(raw, self.spec))
         bucket = F.pmod(F.hash("customer_id"), F.lit(self.buckets)).alias(BUCKET)
         # written once and read back: the batch is used several times below
-        increment = tables.write(INCREMENT, panel.select("*", bucket))
+        increment = self._settle_claims(tables.write(INCREMENT, clean_panel(raw, self.spec).select("*", bucket)))
         # one value per snapshot date, known to be few
         snapshots = [row[0] for row in increment.select("snapshot_month").distinct().collect()]
         if snapshots:
@@ -77,6 +76,9 @@ class IncrementalLoad:
             corrected = None
             if existing is not None:
                 existing = existing.filter(F.col("snapshot_month").isin(snapshots))
+                if existing.isEmpty():  # new months only: nothing to compare the batch with
+                    existing = None
+            if existing is not None:
                 met = existing.join(increment.select(*PANEL_KEY), list(PANEL_KEY), "left_semi")
                 corrected = tables.write("corrected", met.select("customer_id", BUCKET).distinct())
             merged = increment if existing is None else merge_panel(existing, increment)
@@ -85,8 +87,22 @@ class IncrementalLoad:
             self._refresh_cells(increment)
             self._refresh_marts()
             tables.remove("corrected")
+        tables.remove(CLAIMED)
         tables.remove(INCREMENT)
 
+    def _settle_claims(self, increment: DataFrame) -> DataFrame:
+        """The batch with one row per entity and snapshot (``one_per_key``).
+
+        Keys claimed by several rows are found by counts of keys alone; whole rows are compared for such keys only.
+        """
+        claims = increment.groupBy(*PANEL_KEY).count().filter("count > 1").select(*PANEL_KEY)
+        claimed = self.tables.write(CLAIMED, claims)
+        if claimed.isEmpty():
+            return increment
+        single = increment.join(claimed, list(PANEL_KEY), "left_anti")
+        chosen = one_per_key(increment.join(claimed, list(PANEL_KEY), "left_semi"))
+        return self.tables.write(INCREMENT, single.select(*increment.columns).unionByName(chosen))
+
     def _buckets_of(self, rows: DataFrame) -> list[int]:
         """At most ``buckets`` values."""
         return [row[0] for row in rows.select(BUCKET).distinct().collect()]

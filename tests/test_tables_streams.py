@@ -13,8 +13,10 @@ from cohortry.sources.delimited import count_bad_records, header_names, read_all
 from cohortry.sources import tables as module
 from cohortry.sources.orders_panel import raw_panel
 from cohortry.sources.tables import TableSet, replace_partitions, settle, shared_folder
+from cohortry.operators.staging import clean_panel
+from cohortry.streaming import incremental
 from cohortry.streaming.admission import read_admission_counts, run_admission_counts
-from cohortry.streaming.incremental import IncrementalLoad
+from cohortry.streaming.incremental import IncrementalLoad, one_per_key
 
 LINES = '"a" , b,c\n1,"",x\n2,,y\n3,"q ""in"" q","line1\nline2"\n 4 ,NA,  7\n5,too,many,fields\n6,few\n'
 
@@ -228,6 +230,25 @@ def test_a_new_month_reads_no_history(spark, spec, folder, monkeypatch):
     assert "stg_customer_month" not in read
 
 
+def test_only_keys_claimed_twice_compare_whole_rows(spark, spec, folder, monkeypatch):
+    """Every batch was once sorted whole, twice, to find rows of one entity and snapshot."""
+    seen = []
+    monkeypatch.setattr(incremental, "one_per_key", lambda rows: seen.append(rows.count()) or one_per_key(rows))
+    raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 5, 1)).cache()
+    tables = TableSet(spark, folder)
+    load = IncrementalLoad(tables, spec, buckets=2)
+    load.apply(raw.filter("fecha_dato < '1995-04-01'"), 0)
+    assert seen == []
+    late = raw.filter("fecha_dato >= '1995-04-01'")
+    some = late.filter("cast(ncodpers as bigint) % 2 = 0")
+    twice = late.unionByName(some.withColumn("segmento", F.lit("99 - LAST"))).unionByName(some)
+    load.apply(twice, 1)
+    assert some.count() > 0 and seen == [3 * some.count()]
+    want = one_per_key(clean_panel(raw.filter("fecha_dato < '1995-04-01'").unionByName(twice), spec))
+    assert_same(tables.read("stg_customer_month").drop("customer_bucket").select(want.columns), want)
+    assert not tables.exists("claimed")
+
+
 def test_a_batch_reads_profiles_of_its_own_buckets_only(spark, spec, folder):
     """Profiles of the other buckets are made unreadable before a batch of one customer comes."""
     raw = raw_panel(spark, "/root/testdata/sf0.001", dt.date(1995, 8, 1)).cache()
