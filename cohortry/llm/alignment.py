@@ -73,7 +73,7 @@ class Aligner:
         if held["pre_tokenizer"]["type"] != "ByteLevel" or held.get("normalizer"):
             raise ValueError("the first tokenizer has to be a byte-level BPE")
         letters = {letter: byte for byte, letter in enumerate(byte_letters())}
-        self.first = WordEncoder(a_path, limit)
+        self.first = WordEncoder(a_path, limit, pieces=limit)
         self.first.tokenizer.encode_special_tokens = True
         special = {t["id"] for t in held["added_tokens"]}
         self.a_bytes = [b""] * self.first.tokenizer.get_vocab_size()

@@ -51,10 +51,11 @@ class WordEncoder:
     """Ids (little-endian 32-bit) of texts; up to ``limit`` words seen last are kept, and a quarter as many pieces of words.
 
     Words are kept in two generations: when the younger is full it becomes the older, whose words move back when they
-    are seen again. Words seen once, most of a corpus, go without those that every text has.
+    are seen again. Words seen once, most of a corpus, go without those that every text has. A caller that forgets words
+    gives ``pieces``: so many are kept, words of one piece among them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000, pieces: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -71,6 +72,8 @@ class WordEncoder:
         self.letters = dict(enumerate(byte_letters()))
         self.model = self.tokenizer.model
         self.limit = limit
+        self.most_pieces = limit // 4 if pieces is None else pieces
+        self.whole_words = pieces is not None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -85,15 +88,15 @@ class WordEncoder:
         return pack_ids([token.id for token in self.model.tokenize(letters)])
 
     def _joined(self, pieces: list[str]) -> bytes:
-        """Ids of a word's pieces. A word that is one piece is kept as a word only."""
+        """Ids of a word's pieces. A word that is one piece is kept as a word only, unless words are forgotten."""
         held = self.pieces
-        if len(pieces) == 1:
+        if len(pieces) == 1 and not self.whole_words:
             return held.get(pieces[0]) or self._tokenized(pieces[0])
         parts = []
         for piece in pieces:
             ids = held.get(piece)
             if ids is None:
-                if len(held) >= self.limit // 4:
+                if len(held) >= self.most_pieces:
                     held.clear()
                 ids = held[piece] = self._tokenized(piece)
             parts.append(ids)

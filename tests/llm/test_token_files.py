@@ -128,3 +128,11 @@ def test_words_of_every_text_outlive_words_seen_once():
         assert encoder.ids(text).tolist() == want
         assert len(encoder.known) + len(encoder.older) <= 80
     assert asked.count("\u0120common") == 1
+
+
+def test_words_forgotten_between_batches_keep_their_pieces():
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), limit=80, pieces=80)
+    first = encoder.encode("one two three")
+    encoder.forget()
+    encoder.model = None
+    assert encoder.encode("one two three") == first
