@@ -6,6 +6,7 @@ next, so asking for another tokenizer's tables lets go of those before, and stag
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable
 
 import pyarrow as pa
@@ -21,6 +22,9 @@ def kept[T](key: Hashable, make: Callable[[], T]) -> T:
 
 
 def let_go() -> None:
-    """Free what is kept, and what Arrow holds for later."""
+    """Free what is kept, and return what Arrow and the C library hold for later to the system."""
     _kept.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim is not None:
+        trim(0)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cohortry.llm import token_files
+from cohortry.llm import token_files, worker_memory
 from cohortry.llm.encoding import WordEncoder
 from tests.llm.conftest import ODD
 
@@ -136,3 +136,28 @@ def test_words_forgotten_between_batches_keep_their_pieces():
     encoder.forget()
     encoder.model = None
     assert encoder.encode("one two three") == first
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_that_differ_in_signs_share_their_letters(name):
+    """Each of these was a word of its own, encoded again."""
+    encoder = WordEncoder(public_tokenizers.path(name))
+    asked, tokenized = [], encoder._tokenized
+    encoder._tokenized = lambda pieces: asked.extend(pieces) or tokenized(pieces)
+    text = "a thonel b thonel, c thonel!! d thonel.\n\n Édenñ's  we'll  12² x½y ''s \n" + " ".join(f"w{i}q" for i in range(99))
+    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.ids(text).tolist() == want
+    assert encoder.ids(text).tolist() == want
+    assert [p.strip() for p in asked].count("thonel") == 1 and len(asked) == len(set(asked))
+
+
+def test_freed_memory_goes_back_to_the_system():
+    """A worker kept what its encoder had held, on top of what the next stage took."""
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    worker_memory.let_go()
+    held = [bytes(2000) for _ in range(60_000)]
+    pinned = held[::500]
+    full = resident()
+    del held
+    worker_memory.let_go()
+    assert full - resident() > 60_000_000 and pinned
