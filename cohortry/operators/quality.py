@@ -63,29 +63,57 @@ def _breaks(rule: Rule) -> Column:
     return (col < rule.low) | (col > rule.high)
 
 
-def _key(df: DataFrame, columns: Sequence[str]) -> Column:
-    """The values as text, so that keys of different types share one column; -0.0 is 0.0, as in a grouping."""
+_NUMBERS = {"tinyint": "whole", "smallint": "whole", "int": "whole", "bigint": "whole", "date": "date", "boolean": "boolean"}
+_KEY = ("first", "second", "texts")
+
+
+def _kinds(df: DataFrame, columns: Sequence[str]) -> list[str | None]:
+    types = dict(df.dtypes)
+    return [_NUMBERS.get(types[c]) for c in columns]
+
+
+def _as_number(column: str, kind: str) -> Column:
+    return F.unix_date(column).cast("bigint") if kind == "date" else F.col(column).cast("bigint")
+
+
+def _key(df: DataFrame, columns: Sequence[str], numbers: bool) -> list[Column]:
+    """The values in columns that keys of different types share; -0.0 is 0.0, as in a grouping.
+
+    Up to two whole numbers, days or truth values stay numbers, all else is text.
+    """
+    if numbers:
+        own = [_as_number(c, k) for c, k in zip(columns, _kinds(df, columns), strict=True)]
+        return [*own, *[F.lit(None).cast("bigint")] * (2 - len(own)), F.lit(None).cast("array<string>")]
     floats = {name for name, kind in df.dtypes if kind in ("float", "double")}
-    return F.array(*[(F.col(c) + F.lit(0.0) if c in floats else F.col(c)).cast("string") for c in columns])
+    texts = F.array(*[(F.col(c) + F.lit(0.0) if c in floats else F.col(c)).cast("string") for c in columns])
+    return [*[F.lit(None).cast("bigint")] * 2, texts]
+
+
+def _numbers(df: DataFrame, rule: Rule, parents: Mapping[str, DataFrame]) -> bool:
+    """Whether a rule's keys are numbers, of one kind in the table and the parent."""
+    kinds = _kinds(df, rule.columns)
+    if rule.kind == "relationships" and kinds != _kinds(parents[rule.parent], [rule.parent_column]):
+        return False
+    return len(kinds) <= 2 and None not in kinds
 
 
-def _entry(rule: int, key: Column) -> Column:
-    return F.struct(F.lit(rule).alias("rule"), key.alias("key"))
+def _entry(rule: int, key: Sequence[Column]) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), *[c.alias(name) for c, name in zip(key, _KEY, strict=True)])
 
 
-def _entries(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def _entries(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame]) -> DataFrame:
     """(rule, key) for each row and rule that has to see it; broken row conditions have no key."""
     entries = []
+    none = [F.lit(None).cast(kind) for kind in ("bigint", "bigint", "array<string>")]
     for i, rule in enumerate(rules):
         if rule.row_wise:
-            entries.append(F.when(_breaks(rule), _entry(i, F.lit(None).cast("array<string>"))))
-        elif rule.kind == "unique_combination":
-            entries.append(_entry(i, _key(df, rule.columns)))
-        else:
-            entries.append(F.when(F.col(rule.columns[0]).isNotNull(), _entry(i, _key(df, rule.columns))))
+            entries.append(F.when(_breaks(rule), _entry(i, none)))
+            continue
+        entry = _entry(i, _key(df, rule.columns, _numbers(df, rule, parents)))
+        entries.append(entry if rule.kind == "unique_combination" else F.when(F.col(rule.columns[0]).isNotNull(), entry))
     # filtered after the explode, which stays in generated code
     spread = df.select(F.explode(F.array(*entries)).alias("e")).filter("e is not null")
-    return spread.select("e.rule", "e.key", F.lit(1).alias("own"))
+    return spread.select("e.*", F.lit(1).alias("own"))
 
 
 def _failures(i: int, rule: Rule) -> Column:
@@ -109,13 +137,14 @@ def check(df: DataFrame, rules: Sequence[Rule], parents: Mapping[str, DataFrame]
     """
     if not rules:
         raise ValueError("no rules given")
-    sides = [_entries(df, rules)]
+    parents = parents or {}
+    sides = [_entries(df, rules, parents)]
     for i, rule in enumerate(rules):
         if rule.kind == "relationships":
-            parent = (parents or {})[rule.parent].filter(F.col(rule.parent_column).isNotNull())
-            key = _key(parent, [rule.parent_column])
-            sides.append(parent.select(F.lit(i).alias("rule"), key.alias("key"), F.lit(0).alias("own")))
-    keys = reduce(DataFrame.unionByName, sides).groupBy("rule", "key")
+            parent = parents[rule.parent].filter(F.col(rule.parent_column).isNotNull())
+            key = _key(parent, [rule.parent_column], _numbers(df, rule, parents))
+            sides.append(parent.select(_entry(i, key).alias("e")).select("e.*", F.lit(0).alias("own")))
+    keys = reduce(DataFrame.unionByName, sides).groupBy("rule", *_KEY)
     counted = keys.agg(F.sum("own").alias("n"), F.count_if(F.col("own") == 0).alias("known"))
     whole = counted.agg(*[_failures(i, rule) for i, rule in enumerate(rules)])
     results = [

@@ -147,3 +147,13 @@ def test_all_key_rules_of_a_table_share_one_scan_and_one_exchange(spark, tmp_pat
     assert plan.count("/child]") == 1 and plan.count("/parent]") == 2
     empty = q.check(spark.read.parquet(child).limit(0), rules, {"up": spark.read.parquet(parent)})
     assert [r["failures"] for r in empty.collect()] == [0] * len(rules)
+
+
+def test_numbers_days_and_texts_as_keys(spark):
+    """Keys of whole numbers and days stay numbers; a parent of another type is compared as text."""
+    rows = spark.sql("SELECT * FROM VALUES (1L, DATE'2020-01-01', 7), (1L, DATE'2020-01-01', 8), (NULL, NULL, 9), (NULL, NULL, NULL), (2L, NULL, 9) AS t(a, d, p)")
+    parents = {"same": spark.sql("SELECT * FROM VALUES (7L), (8L) AS t(k)"), "text": spark.sql("SELECT * FROM VALUES ('7'), ('9') AS t(k)")}
+    rules = [q.unique_combination("a", "d"), q.unique("a"), q.unique("p"), q.relationship("p", "same", "k"), q.relationship("p", "text", "k")]
+    assert [r.failures for r in q.check(rows, rules, parents).collect()] == [2, 1, 1, 2, 1]
+    entries = q._entries(rows, rules[:1], {}).schema
+    assert entries["first"].dataType.simpleString() == "bigint"
