@@ -97,11 +97,19 @@ def fct_customer_month(panel: DataFrame, resolved: DataFrame) -> DataFrame:
     execution splits its panel rows, provided that ``resolved`` is a stored table, as in ``build``:
     a freshly aggregated one shares its shuffle with the join and cannot be replicated.
     """
+    return with_month_key(customer_months(panel, resolved))
+
+
+def with_month_key(months: DataFrame) -> DataFrame:
+    return months.select(surrogate_key("customer_id", "snapshot_month").alias("customer_month_key"), "*")
+
+
+def customer_months(panel: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The monthly fact but for its key, which is longer than a row's other columns together."""
     flags = resolved.select(
         "customer_id", "is_within_panel_cohort", "is_adopted_clean", "is_right_censored", "has_panel_gaps"
     )
     return panel.join(flags, "customer_id", "left").select(
-        surrogate_key("customer_id", "snapshot_month").alias("customer_month_key"),
         "customer_id",
         "snapshot_month",
         "acq_month",

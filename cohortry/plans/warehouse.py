@@ -154,9 +154,10 @@ def build(
     store("fct_customer", model.fct_customer(stored.resolved))
     store(
         "fct_customer_month",
-        model.fct_customer_month(stored.panel, stored.resolved),
+        model.customer_months(stored.panel, stored.resolved),
         partition="snapshot_month",
         sort=("acq_month", "segmento", "customer_id"),
+        derived=model.with_month_key,
     )
     store("mart_adoption_curves", marts.adoption_curves(stored.fct_customer, spec))
     store("mart_adoption_curves_by_segment", marts.adoption_curves(stored.fct_customer, spec, ["segmento"]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,15 +50,21 @@ def write_table(
     mode: str = "overwrite",
     partition: str | None = None,
     sort: Sequence[str] = (),
+    derived: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Write parquet; with ``partition``, one folder per value and rows clustered by ``sort``.
 
-    Clustering range-partitions on (partition, *sort): a value holding many rows is spread over
-    several tasks by its sort columns, and the sorted files carry narrow min/max statistics.
+    Rows are gathered by ``partition``, a value holding many rows is spread over several tasks (the rebalance
+    hint), and each task sorts what it writes. Without ``partition``, rows are range-partitioned on ``sort``, which
+    computes ``df`` twice. ``derived`` adds columns last, so that they are neither exchanged nor sorted.
     """
     order = [c for c in [partition, *sort] if c]
-    if order:
+    if partition:
+        df = df.hint("rebalance", partition).sortWithinPartitions(*order)
+    elif order:
         df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if derived is not None:
+        df = derived(df)
     writer = df.write.mode(mode)
     if partition:
         writer = writer.partitionBy(partition)
@@ -100,7 +106,13 @@ def current_folder(spark: SparkSession, path: str) -> str:
     return f"{path}/{versions[max(versions)]}" if versions else path
 
 
-def publish(df: DataFrame, path: str, partition: str | None = None, sort: Sequence[str] = ()) -> None:
+def publish(
+    df: DataFrame,
+    path: str,
+    partition: str | None = None,
+    sort: Sequence[str] = (),
+    derived: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Replace the table at ``path``: write a version folder, then a small pointer file that makes it the table.
 
     Until the pointer is there, readers see the version before; a job that fails leaves it as it was. ``df`` may be
@@ -112,7 +124,7 @@ def publish(df: DataFrame, path: str, partition: str | None = None, sort: Sequen
     number = max(_pointers(spark, path), default=0) + 1
     version = f"version-{uuid.uuid4().hex}"
     try:
-        write_table(df, f"{path}/{version}", "errorifexists", partition, sort)
+        write_table(df, f"{path}/{version}", "errorifexists", partition, sort, derived)
         _point(spark, path, number, version)
     except BaseException:
         remove_folder(spark, f"{path}/{version}")
@@ -167,9 +179,9 @@ class TableSet:
     def exists(self, name: str) -> bool:
         return read_or_none(self.spark, self.path(name)) is not None
 
-    def write(self, name: str, df: DataFrame, partition: str | None = None, sort: Sequence[str] = ()) -> DataFrame:
-        """Replace the table as a whole (``publish``) and return it read back."""
-        publish(df, self.path(name), partition, sort)
+    def write(self, name: str, df: DataFrame, **layout) -> DataFrame:
+        """Replace the table as a whole (``publish``, with its layout) and return it read back."""
+        publish(df, self.path(name), **layout)
         return self.read(name)
 
     def write_if_absent(self, name: str, df: DataFrame) -> DataFrame:

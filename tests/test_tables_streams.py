@@ -328,3 +328,21 @@ def test_streamed_admission_counts(spark, folder):
     got = {tuple(r) for r in read_admission_counts(tables, "counts", 4, 7).collect()}
     want = {tuple(r) for r in admission_counts(frame, "ts", "client", "1 day", 4, 7).collect()}
     assert got == want and {r[1:] for r in got} == {(18, 8, 7)} and len(got) == 3
+
+
+def test_partitioned_table_computes_its_rows_once(spark, tmp_path):
+    """Range partitioning had computed them a first time for its sample."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100).selectExpr("id % 3 AS part", "100 - id AS n").mapInArrow(count, "part long, n long")
+    table = TableSet(spark, str(tmp_path / "set")).write("t", rows, partition="part", sort=("n",), derived=lambda df: df.withColumn("m", F.col("n") + 1))
+    assert seen.value == 100
+    assert {tuple(r) for r in table.select("part", "n", "m").collect()} == {(i % 3, 100 - i, 101 - i) for i in range(100)}
+    for file in table.inputFiles():
+        own = [r.n for r in spark.read.parquet(file).collect()]
+        assert own == sorted(own)
