@@ -142,13 +142,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     Words are counted in every slice of a partition, then in Spark: a common word is one row per slice.
     """
+    return docs.select("text").mapInArrow(_slice_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=16 << 20):
-            word, n = np.unique(hash_words(split_words(batch.column("text"))), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _slice_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each slice; its words are cut and hashed a small part at a time, whose arrays are many times its text."""
+    for batch in slices(batches, limit=16 << 20):
+        hashed = [hash_words(split_words(part.column("text"))) for part in slices(iter([batch]), limit=1 << 20)]
+        word, n = np.unique(np.concatenate(hashed), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
 def frequent_words(docs: DataFrame, size: int) -> np.ndarray:

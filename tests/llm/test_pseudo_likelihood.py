@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -54,6 +55,20 @@ def test_vocabulary_counts_the_whole_corpus(documents):
     assert len(got) == 100 and all(words[hashed[h]] >= least for h in got)
 
 
+def test_a_slice_is_counted_in_a_few_times_its_bytes():
+    """Counts of 12 MB of words, by numpy arrays of less than seven times as much at once (twelve before)."""
+    texts = [" ".join(f"w{(i * j) % 9973:05}" for j in range(500)) for i in range(1, 3500)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    size = sum(len(t or "") for t in texts)
+    tracemalloc.start()
+    (got,) = pl._slice_counts(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter(w for t in texts for w in (t or "").split())
+    assert sorted(got.column("n").to_pylist()) == sorted(want.values())
+    assert peak < 7 * size
+
+
 def test_every_word_has_its_own_probability(table):
     common = " ".join(f"c{i}" for i in range(1023)) + " " + " ".join(f"c{i}" for i in range(1023))
     rows = [(1, common), (2, common), (3, common), (4, "rare seldom rare"), (5, "odd1 odd2 odd3"), (6, "rare seldom rare"), (None, "c1 odd4"), (7, None)]
