@@ -43,8 +43,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
         for batch in slices(batches, limit=1 << 20):
             rows = []
             texts = batch.column("text").fill_null("").to_pylist()
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = encode.encode(text) + end
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode_all(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 bounds = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):

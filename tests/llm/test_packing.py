@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortry.llm import packing
+from cohortry.llm.encoding import WordEncoder
 from tests.llm.conftest import ODD
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +59,29 @@ def test_odd_texts_ties_and_repeated_rows(table):
     check_layout(packed, 2048)
 
 
+def test_new_pieces_of_many_texts_are_one_library_call():
+    """Ids are the library's, of plain and other texts side by side; there was a call for each plain text before."""
+    generator = np.random.default_rng(7)
+    signs = [*"abcxyzABC'stremvld0189 \n  ,.!-_(){}|<>é", "'s", "'ll ", " '", "\u024f", "ß", "\xa0", "\t", "日", "\u2019", "<|endoftext|>"]
+    texts = ["".join(generator.choice(signs, int(n))) for n in generator.integers(0, 60, 3000)]
+    texts += [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(60)] + [t or "" for _, t in ODD]
+    encode, tokenizer = WordEncoder(BYTE_BPE), Tokenizer.from_file(BYTE_BPE)
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encode.encode_all(texts) == [encode.encode(t) for t in texts] == want
+    assert encode.encode_all([]) == []
+
+    class Counted:
+        calls, held = 0, encode.model_alone
+
+        def encode_batch_fast(self, *given, **named):
+            self.calls += 1
+            return self.held.encode_batch_fast(*given, **named)
+
+    encode.model_alone = Counted()
+    encode.encode_all([" ".join(f"v{i}y{'ab' * i}{j}q" + chr(97 + j) * 3 for j in range(20)) for i in range(1, 30)])
+    assert encode.model_alone.calls == 1
+
+
 def test_sequences_hold_their_pieces_in_order(table):
     packed = packing.pack(packing.cut_pieces(table(ODD[:10]), BYTE_BPE, 0, capacity=16), capacity=16).cache()
     laid = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
